@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from irloom.llm import sharding
+from irloom.llm import mixing, sharding, url_filters
 
-_MODULES = [sharding]
+_MODULES = [sharding, url_filters, mixing]
 
 
 def queries():
