@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from irloom.llm import decontamination, mixing, sharding, simhash, url_filters
+from irloom.llm import decontamination, language_id, mixing, sharding, simhash, url_filters
 
-_MODULES = [sharding, url_filters, simhash, decontamination, mixing]
+_MODULES = [sharding, language_id, url_filters, simhash, decontamination, mixing]
 
 
 def queries():
