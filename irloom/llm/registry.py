@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from irloom.llm import ann, decontamination, language_id, mixing, sharding, simhash, url_filters
+from irloom.llm import ann, decontamination, language_id, mixing, quality, sharding, simhash, url_filters
 
-_MODULES = [ann, sharding, language_id, url_filters, simhash, decontamination, mixing]
+_MODULES = [ann, sharding, language_id, url_filters, simhash, decontamination, mixing, quality]
 
 
 def queries():
