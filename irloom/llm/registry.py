@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from irloom.llm import ann, decontamination, language_id, mixing, quality, sharding, simhash, toxicity, url_filters
+from irloom.llm import ann, chat_format, decontamination, language_id, mixing, quality, sharding, simhash, toxicity, url_filters
 
-_MODULES = [ann, sharding, language_id, url_filters, simhash, toxicity, decontamination, mixing, quality]
+_MODULES = [chat_format, ann, sharding, language_id, url_filters, simhash, toxicity, decontamination, mixing, quality]
 
 
 def queries():
