@@ -244,16 +244,8 @@ class Benchmark:
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, start, end (characters of the text), edits: every benchmark passage in docs."""
-    spark, blocks, block, filled = docs.sparkSession, [], [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        filled += len((row[1] or "").encode())
-        if filled >= BLOCK_BYTES:
-            blocks.append(block)
-            block, filled = [], 0
-    blocks.append(block)
-    out = None
-    for block in blocks:
+    spark, out = docs.sparkSession, None
+    for block in _blocks(benchmark):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -266,24 +258,60 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     return out
 
 
-def _scan(part: pa.RecordBatch, known: Benchmark) -> pa.RecordBatch:
+def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
+    """The items in blocks of about BLOCK_BYTES; one block at least."""
+    blocks, block, filled = [], [], 0
+    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        block.append((row[0], row[1]))
+        filled += len((row[1] or "").encode())
+        if filled >= BLOCK_BYTES:
+            blocks.append(block)
+            block, filled = [], 0
+    return [*blocks, block] if block or not blocks else blocks
+
+
+def _hits(part: pa.RecordBatch, known: Benchmark) -> tuple[list[int], list[tuple]]:
+    """Rows of the batch with hits, and (row, item_id, start, end, edits) with places in characters."""
     texts = [(t or b"").replace(b"\0", b" ") for t in part.column("text").cast(pa.binary()).to_pylist()]
     data, place = normalise(np.frombuffer(b"\0".join(texts), np.uint8))
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    ids, rows = part.column("doc_id").to_pylist(), []
+    rows = []
     for i, a, b, e in known.hits(data):
-        if a >= b:
-            continue
-        lo, hi = int(place[a]), int(place[b - 1]) + 1
-        doc = int(np.searchsorted(begins, lo, side="right")) - 1
-        text, base = texts[doc], int(begins[doc])
-        head = len(text[: lo - base].decode("utf-8", "ignore"))
-        rows.append((ids[doc], known.ids[i], head, head + len(text[lo - base : hi - base].decode("utf-8", "ignore")), e))
-    columns = list(zip(*sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or 0, r[2])))) if rows else [[]] * 5
+        if a < b:
+            lo, hi = int(place[a]), int(place[b - 1]) + 1
+            doc = int(np.searchsorted(begins, lo, side="right")) - 1
+            text, base = texts[doc], int(begins[doc])
+            head = len(text[: lo - base].decode("utf-8", "ignore"))
+            rows.append((doc, known.ids[i], head, head + len(text[lo - base : hi - base].decode("utf-8", "ignore")), e))
+    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    return sorted({r[0] for r in rows}), rows
+
+
+def _scan(part: pa.RecordBatch, known: Benchmark) -> pa.RecordBatch:
+    ids, rows = part.column("doc_id").to_pylist(), _hits(part, known)[1]
+    columns = list(zip(*[(ids[r[0]], *r[1:]) for r in rows])) if rows else [[]] * 5
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "start", "end", "edits"])
 
 
+def without_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of docs in which no benchmark passage is found, judged where they stand: texts aren't shuffled."""
+    out = docs
+    for block in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+        names = docs.columns
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = Benchmark(held.value, rate)
+            for part in text_slices(batches, 2 << 20):
+                clean = np.ones(part.num_rows, bool)
+                clean[_hits(part, known)[0]] = False
+                yield part.filter(pa.array(clean)).select(names)
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op8_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of the benchmark in the documents; see the module."""
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("similarity", F.lit(1.0) - F.col("edits") / F.greatest(F.col("end") - F.col("start"), F.lit(1)))

@@ -118,15 +118,16 @@ def _from_binary(values: pa.Array | pa.ChunkedArray, lanes: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, lanes)
 
 
-def fingerprints(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
-    """doc_id, fp (big-endian bytes) of every row."""
+def fingerprints(docs: DataFrame, rule: Rule = EXACT, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (big-endian bytes) of every row; `extra` columns (long) come along."""
+    extra = extra or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _as_binary(fingerprint_array(texts, rule))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in extra], _as_binary(fingerprint_array(texts, rule))], ["doc_id", *extra, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), *extra, "text").mapInArrow(run, ", ".join(["doc_id long", *[f"`{c}` long" for c in extra], "fp binary"]))
 
 
 def _masks(rule: Rule) -> list[tuple[int, np.uint64]]:
@@ -302,15 +303,39 @@ def forests(unique: DataFrame, rule: Rule = EXACT) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(pair, "a binary, b binary").distinct()
 
 
-def components(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id of the component) of every row of docs."""
-    own = materialise(fingerprints(docs, rule), "sim-fingerprints")
+def _named(own: DataFrame, rule: Rule) -> DataFrame:
+    """own (doc_id, fp, ...) with component (its smallest fingerprint) and component_id (its smallest id)."""
     unique = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-distinct")
     stars = _contract(materialise(forests(unique, rule), "sim-links"))
-    roots = unique.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = unique.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("component"))
+    ids = roots.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.join(materialise(roots.join(ids, "component").select("fp", "component", "component_id"), "sim-components"), "fp")
+
+
+def components(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
+    """doc_id, fp, component_id (the smallest id of the component) of every row of docs."""
+    return _named(materialise(fingerprints(docs, rule), "sim-fingerprints"), rule).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
+    """One row of docs for each component: of the rows with its smallest id, the one of the smallest text hash.
+
+    Rows without id stay where their component has no row with one. Decisions are joined back by id and a hash of the text."""
+    mark = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", mark.alias("__mark"))
+    own = materialise(fingerprints(keyed, rule, ["__mark"]), "sim-fingerprints")
+    named = _named(own, rule)
+    chosen = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("c"))
+    chosen = materialise(chosen.select("c.doc_id", "c.__mark"), "sim-chosen")
+    again = materialise(own.join(chosen, own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["__mark"] == chosen["__mark"])).groupBy(own["doc_id"], own["__mark"]).count().where("count > 1").drop("count"), "sim-repeated")
+    there = docs.withColumn("__mark", mark)
+    same = lambda other: there["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (there["__mark"] == other["__mark"])
+    kept = there.join(chosen, same(chosen), "left_semi")
+    if again.isEmpty():
+        return kept.drop("__mark")
+    once = kept.join(again, kept["doc_id"].cast("long").eqNullSafe(again["doc_id"]) & (kept["__mark"] == again["__mark"]), "left_semi").dropDuplicates(["doc_id", "__mark"])
+    rest = kept.join(again, kept["doc_id"].cast("long").eqNullSafe(again["doc_id"]) & (kept["__mark"] == again["__mark"]), "left_anti")
+    return rest.union(once).drop("__mark")
 
 
 def op6_vantage_point_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
