@@ -8,9 +8,10 @@ an assistant message is the result for id ``<turn - 1>``; a system message stand
 * Linking is a hash join of calls with the first result of each identifier (conversation, id); results are reduced to one row for
   each identifier before they are joined, so a repeated identifier multiplies nothing. A result without a call is an orphan, a
   call without a result is unanswered.
-* Order: a call's level is 0 if it depends on nothing in its conversation that stands later, else one more than the highest level
-  of those; within a level the place (turn, number in the message) decides, so that (level, turn, number) is a topological order.
-  Only calls that wait for a later one take part in the rounds; calls on a cycle get level -1 and status ``cycle``.
+* Order: a call's level is the least that is over the level of each call it needs that stands later, and not under the level of
+  those that stand earlier; so (level, turn, number in the message) is a topological order. Almost every call needs earlier ones
+  only and stays at 0; rounds run over conversations where one waits for a later one. Levels beyond the number of such waits show
+  a cycle: calls on or behind it get level -1 and status ``cycle``.
 * Validation: arguments are compared with the schema of their name: required fields and their types. Unknown names are invalid.
 * Canonical JSON: fields in code point order, no blanks, arguments rebuilt from their parsed form.
 
@@ -70,28 +71,26 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id, level of the calls that wait for a later one (-1: on or behind a cycle); all others are level 0.
+    """conv_id, id, level of the calls over level 0 (-1: on or behind a cycle).
 
     calls has conv_id, id, turn, number, needs; an id counts once, by its first call."""
     first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "number")).alias("at"))
     wants = calls.where(F.size("needs") > 0).select("conv_id", F.col("id").alias("a"), F.explode("needs").alias("b")).distinct()
-    # almost every call depends on what stands before it; only the others go on
     placed = wants.join(first.select("conv_id", F.col("id").alias("a"), F.col("at").alias("at_a")), ["conv_id", "a"]).join(first.select("conv_id", F.col("id").alias("b"), F.col("at").alias("at_b")), ["conv_id", "b"])
-    edges = materialise(placed.where(F.col("at_b") >= F.col("at_a")).select("conv_id", "a", "b"), "chat-edges")
-    out = edges.select("conv_id", F.col("a").alias("id")).distinct().withColumn("level", F.lit(-1))
-    done = edges.select("conv_id", F.col("b").alias("id")).distinct().join(out.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
+    placed = placed.select("conv_id", "a", "b", (F.col("at_b") >= F.col("at_a")).cast("int").alias("late"))
+    bound = placed.where("late = 1").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("most"))
+    edges = materialise(placed.join(bound, "conv_id"), "chat-edges")  # of conversations with a call that waits for a later one
+    level = edges.where("late = 1").select("conv_id", F.col("a").alias("id"), F.lit(1).alias("level"), "most").distinct()
     if edges.isEmpty():
-        return out
-    level, settled = 0, materialise(done, "chat-levels")
+        return level.drop("most")
+    before = None
     while True:
-        level += 1
-        waits = edges.join(settled.select("conv_id", F.col("id").alias("b")), ["conv_id", "b"], "left_anti").select("conv_id", F.col("a").alias("id"))
-        new = edges.select("conv_id", F.col("a").alias("id")).distinct().join(waits, ["conv_id", "id"], "left_anti").join(settled, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level))
-        new = materialise(new, "chat-levels")
-        if new.isEmpty():
-            break
-        settled = settled.union(new)
-    return out.drop("level").join(settled, ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+        grown = edges.join(level.select("conv_id", F.col("id").alias("b"), "level"), ["conv_id", "b"]).select("conv_id", F.col("a").alias("id"), F.least(F.col("level") + F.col("late"), F.col("most") + 1).alias("level"), "most")
+        level = materialise(level.union(grown).groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.max("most").alias("most")), "chat-levels")
+        now = level.agg(F.count(F.lit(1)), F.sum("level")).first()
+        if now == before:
+            return level.select("conv_id", "id", F.when(F.col("level") > F.col("most"), -1).otherwise(F.col("level")).alias("level"))
+        before = now
 
 
 def _problems(schemas) -> Column:
