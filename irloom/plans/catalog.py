@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irloom.plans import engine_queries
+from irloom.plans import engine_queries, program_queries  # noqa: F401  the second adds to the first
 
 Query = Callable[[SparkSession, str], DataFrame]
 
