@@ -39,13 +39,13 @@ def issue(df: DataFrame, kind: str, severity, confidence, message: str) -> DataF
 
 
 def order() -> list[str]:
+    from irloom.passes import boundary, ffi, memory, safety  # noqa: F401  they register themselves
+
     return pass_order({n: list(p.deps) for n, p in REGISTRY.items()})
 
 
 def run(module: Module, only: list[str] | None = None) -> DataFrame:
     """Issues of all passes (or of some), with the name of their pass."""
-    from irloom.passes import boundary, memory, safety  # noqa: F401  they register themselves
-
     out = None
     for name in order():
         if only is None or name in only:

@@ -112,8 +112,41 @@ def test_plan_points(spark):
 
 
 def test_order_is_topological():
-    passes.run.__doc__
-    from irloom.passes import boundary, memory, safety  # noqa: F401
-
     at = {n: i for i, n in enumerate(passes.order())}
     assert all(at[d] < at[n] for n, p in passes.REGISTRY.items() for d in p.deps)
+
+
+PAIRS = {
+    "ffi-detector": ("command_injection", "define void @_RNvC1x1f() {\n%e = call ptr @getenv(ptr @k)\n%r = call i32 @system(ptr %e)\nret void\n}", "define void @_RNvC1x1f() {\n%e = call ptr @getenv(ptr @k)\n%r = call i32 @system(ptr @ls)\nret void\n}"),
+    "ffi-type-mismatch": ("ffi_type_mismatch", "declare i32 @h(i32)\ndefine void @_RNvC1x1f(i64 %x) {\n%r = call i32 @h(i64 %x)\nret void\n}", "declare i32 @h(i64)\ndefine void @_RNvC1x1f(i64 %x) {\n%r = call i32 @h(i64 %x)\nret void\n}"),
+    "ffi-body-check": ("ffi_unsafe_call", "define void @_RNvC1x1f() {\n%p = call ptr @malloc(i64 8)\ncall void @take(ptr %p)\nret void\n}", "define void @_RNvC1x1f() {\n%p = call ptr @malloc(i64 8)\ncall void @free(ptr %p)\nret void\n}"),
+    "cross-lang-dataflow": ("double_free", "define void @f(ptr %p) {\ncall void @free(ptr %p)\ncall void @PyMem_Free(ptr %p)\nret void\n}", "define void @f(ptr %p) {\ncall void @free(ptr %p)\nret void\n}"),
+    "callback-lifecycle": ("ffi_unsafe_call", "define void @cb() {\ncall void @core_panic(ptr @m)\nret void\n}\ndefine void @f() {\ncall void @each(ptr @cb)\nret void\n}", "define void @cb() {\nret void\n}\ndefine void @f() {\ncall void @each(ptr @cb)\nret void\n}"),
+    "error-propagation": ("unchecked_return", "define void @_RNvC1x1f() {\n%r = call i32 @db_open(ptr @p)\nret void\n}", "define i32 @_RNvC1x1f() {\n%r = call i32 @db_open(ptr @p)\nret i32 %r\n}"),
+    "danger-surface": ("cross_language_leak", "define void @_RNvC1x1f() {\n%p = call ptr @malloc(i64 8)\ncall void @take(ptr %p)\nret void\n}", "define void @_RNvC1x1f() {\n%p = call ptr @malloc(i64 8)\ncall void @take(ptr %p)\ncall void @free(ptr %p)\nret void\n}"),
+    "abi-mismatch": ("ffi_type_mismatch", "%struct.P = type <{ i8, i64 }>", "%struct.P = type { i8, i64 }"),
+    "finalizer": ("use_after_free", "define void @Foo_finalize(ptr %o) {\n%r = call ptr @PyObject_CallNoArgs(ptr %o)\nret void\n}", "define void @Foo_run(ptr %o) {\n%r = call ptr @PyObject_CallNoArgs(ptr %o)\nret void\n}"),
+}
+
+
+@pytest.fixture(scope="module")
+def paired(spark):
+    rows = [(f"{n}/{w}", t) for n, (_, bug, noise) in PAIRS.items() for w, t in (("bug", bug), ("noise", noise))]
+    m = ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string"))
+    return {(r.module_id, r["pass"], r.kind) for r in passes.run(m, list(PAIRS)).collect()}
+
+
+@pytest.mark.parametrize("name", list(PAIRS))
+def test_pair(paired, name):
+    assert (f"{name}/bug", name, PAIRS[name][0]) in paired
+    assert not [x for x in paired if x[0] == f"{name}/noise" and x[1] == name]
+
+
+def test_views(spark):
+    from irloom.passes import ffi
+
+    text = "define void @_RNvC1x1a() {\n%p = call ptr @malloc(i64 8)\ncall void @helper(ptr %p)\nret void\n}\ndefine internal void @helper(ptr %q) {\n%c = bitcast ptr %q to ptr\nret void\n}\ndefine void @alone() {\nret void\n}"
+    m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
+    assert {r.func: r.surface for r in ffi.surfaces(m).collect()} == {"_RNvC1x1a": "boundary", "helper": "reachable_from_boundary", "alone": "ffi_producer"}
+    assert [(r.value, r.resolution) for r in ffi.resolutions(m).collect()] == [("%p", "heap")]
+    assert {r.value for r in ffi.danger_pointers(m).collect()} == {"%p"} and ffi.alias_pairs(m).count() == 0
