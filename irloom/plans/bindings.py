@@ -57,7 +57,7 @@ SELECT o_orderkey AS ptr, concat('fn_', CAST(o_custkey AS STRING)) AS func,
   CASE WHEN o_orderkey % 17 = 0 THEN 'rust_box' END AS container, o_orderkey % 23 = 0 AS is_borrowed, o_orderkey % 29 = 0 AS is_gc, o_orderkey % 31 = 0 AS has_raii, o_custkey % 4 = 0 AS on_ffi_path
 FROM {{orders}}""",
     "frees": f"""
-SELECT l_orderkey AS ptr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS seq,
+SELECT l_orderkey AS ptr, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS seq,
   concat('fn_', CAST(l_suppkey AS STRING)) AS func, CAST(l_linenumber % 3 AS INT) AS bb, {_pick('l_suppkey', ['c', 'rust', 'python'])} AS lang, {_pick('l_suppkey', ['free', '__rust_dealloc', 'PyMem_Free', 'widget_free', 'fclose'])} AS callee
 FROM {{lineitem}} WHERE l_linestatus = 'F' AND l_returnflag = 'R'""",
     "locks": """

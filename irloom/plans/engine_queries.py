@@ -252,7 +252,7 @@ def override_lookup(t):
     return t["pages"].select("page_id", matching.longest_rule(t["pages"], "url", rules, "unknown").alias("lang"))
 
 
-@query(f"SELECT page_id, {names.file_stem('url')} AS stem, {names.json_string('url')} AS quoted FROM pages")
+@query(f"SELECT page_id, {names.file_stem('url')} AS stem, CAST({names.json_string('url')} AS STRING) AS quoted FROM pages")
 def path_functions(t):
     return t["pages"].select("page_id", F.expr(names.file_stem("url")).alias("stem"), F.concat(F.lit('"'), F.col("url"), F.lit('"')).alias("quoted"))
 
@@ -378,12 +378,12 @@ def lattice_meet(t):
     return lifecycle.meet_fold(t.bind("states"))
 
 
-@query(f"SELECT ptr, seq, bb, lang, nth, bb = first_bb AS same_block, langs FROM (SELECT *, row_number() OVER (PARTITION BY ptr ORDER BY seq) AS nth, first_value(bb) OVER (PARTITION BY ptr ORDER BY seq) AS first_bb, count(DISTINCT lang) OVER (PARTITION BY ptr) AS langs FROM {FREES}) x WHERE nth > 1")
+@query(f"SELECT ptr, seq, bb, lang, nth, bb = first_bb AS same_block, langs FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ptr ORDER BY seq) AS INT) AS nth, first_value(bb) OVER (PARTITION BY ptr ORDER BY seq) AS first_bb, CAST(count(DISTINCT lang) OVER (PARTITION BY ptr) AS INT) AS langs FROM {FREES}) x WHERE nth > 1")
 def double_frees(t):
     return lifecycle.double_frees(t.bind("frees").select("ptr", "seq", "bb", "lang")).select("ptr", "seq", "bb", "lang", "nth", "same_block", "langs")
 
 
-@query(f"SELECT func, ordinal, lock_id, is_acquire, sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) OVER (PARTITION BY func, lock_id ORDER BY ordinal) AS held FROM {ansi('locks')}")
+@query(f"SELECT func, ordinal, lock_id, is_acquire, CAST(sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) OVER (PARTITION BY func, lock_id ORDER BY ordinal) AS BIGINT) AS held FROM {ansi('locks')}")
 def held_locks(t):
     return lifecycle.held_locks(t.bind("locks"))
 
@@ -393,7 +393,7 @@ def lock_order(t):
     return lifecycle.lock_order(t.bind("locks"))
 
 
-@query(f"WITH o AS (SELECT *, sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) OVER (PARTITION BY func, lock_id ORDER BY ordinal) AS run FROM {ansi('locks')}) SELECT func, lock_id, sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) - least(min(run), 0) AS open FROM o GROUP BY func, lock_id")
+@query(f"WITH o AS (SELECT *, sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) OVER (PARTITION BY func, lock_id ORDER BY ordinal) AS run FROM {ansi('locks')}) SELECT func, lock_id, CAST(sum(CASE WHEN is_acquire THEN 1 ELSE -1 END) - least(min(run), 0) AS BIGINT) AS open FROM o GROUP BY func, lock_id")
 def open_references(t):
     ops = t.bind("locks").withColumn("sign", F.when(F.col("is_acquire"), 1).otherwise(-1))
     return lifecycle.balance(ops, ["func", "lock_id"], "sign", "ordinal")
@@ -427,7 +427,7 @@ def verdict_counts(t):
     return matching.verify(t.bind("candidates").withColumn("evidence", F.array("note"))).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"WITH s AS (SELECT module, lang, round(sum(weight), 6) AS weight FROM {ansi('votes')} GROUP BY 1, 2), w AS (SELECT *, round(weight / sum(weight) OVER (PARTITION BY module), 6) AS share, max(weight) OVER (PARTITION BY module) AS best FROM s) SELECT module, lang, weight, share, row_number() OVER (PARTITION BY module ORDER BY weight DESC, lang) AS place FROM w WHERE weight >= 0.15 * best")
+@query(f"WITH s AS (SELECT module, lang, round(sum(weight), 6) AS weight FROM {ansi('votes')} GROUP BY 1, 2), w AS (SELECT *, round(weight / sum(weight) OVER (PARTITION BY module), 6) AS share, max(weight) OVER (PARTITION BY module) AS best FROM s) SELECT module, lang, weight, share, CAST(row_number() OVER (PARTITION BY module ORDER BY weight DESC, lang) AS INT) AS place FROM w WHERE weight >= 0.15 * best")
 def language_votes(t):
     return matching.weighted_vote(t.bind("votes"))
 
