@@ -256,9 +256,10 @@ def _contract(edges: DataFrame) -> DataFrame:
         # large star: each node hands its larger neighbours to the smallest node it knows
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = edges.join(least, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")).where("a > b").distinct()
+        least = materialise(least, "sim-least")  # by itself, so that the join may be split where a hub has many edges, or broadcast
+        large = materialise(edges.join(least, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")).where("a > b").distinct(), "sim-large")
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "sim-low")
         small = large.join(low.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
         edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(low.select("a", F.col("m").alias("b"))).distinct(), "sim-stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
