@@ -18,6 +18,7 @@ gives an empty result; columns called like the added ones are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +32,7 @@ ROUNDS = 6
 WALK = 32
 PRIME = 2_147_483_647
 #: Rows of one range, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 1024, 4096
+RANGE_ROWS, MOST_RANGES = 1024, 65_536
 _SUB = 64
 
 
@@ -136,9 +137,10 @@ def _lambda_step(x: str, a: int, b: int, seed: int) -> str:
 def with_row_number(df: DataFrame, n: int, id_col: str, ties: list[Column], out: str = "global_row") -> DataFrame:
     """Number all rows from 0 by id (nulls first), then by `ties`, whose first must be a long from 0 to 2**32 - 1."""
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to one constant
     cuts = []
     if ranges > 1:
-        found = df.select(F.percentile_approx(F.col(id_col).cast("long"), [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()[0]
+        found = df.select(F.percentile_approx(F.col(id_col).cast("long"), literal([i / ranges for i in range(1, ranges)], "array<double>"), 10 * ranges)).first()[0]
         cuts = sorted(found or [])
     heavy = sorted({x for x, y in zip(cuts, cuts[1:]) if x == y})
     cuts = sorted(set(cuts))
@@ -148,8 +150,7 @@ def with_row_number(df: DataFrame, n: int, id_col: str, ties: list[Column], out:
     if cuts:
         wide = math.isqrt(len(cuts) - 1) + 1
         rows = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-        tops = F.array(*[F.lit(r[-1]).cast("long") for r in rows])
-        parts = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows], F.array().cast("array<bigint>"))
+        tops, parts = literal([r[-1] for r in rows], "array<bigint>"), literal([*rows, []], "array<array<bigint>>")
         by = by.withColumn("__top", F.size(F.filter(tops, lambda x: x < ident)))
         by = by.withColumn("__part", F.element_at(parts, F.col("__top") + 1))
         by = by.withColumn("__low", F.col("__top") * wide + F.size(F.filter(F.col("__part"), lambda x: x < ident)))
@@ -161,7 +162,7 @@ def with_row_number(df: DataFrame, n: int, id_col: str, ties: list[Column], out:
     by = by.withColumn("__s", F.when(alone, F.shiftright(F.col("__t0"), 26)).otherwise(F.lit(0)).cast("long"))
     counts = by.groupBy("__b", "__s").agg(F.count(F.lit(1)).alias("__c"))
     first = counts.select("__b", "__s", (F.sum("__c").over(Window.orderBy("__b", "__s")) - F.col("__c")).alias("__first"))
-    # a row for each range: at most (2 * 4096 + 2) * 64 of them
+    # a row for each range and cut, and 64 for each id that fills a range: in all not over 2 * MOST_RANGES + 64 * (MOST_RANGES / 2)
     inside = Window.partitionBy("__b", "__s").orderBy(F.col(id_col), *[F.col(f"__t{i}") for i in range(len(ties))])
     numbered = by.withColumn("__at", F.row_number().over(inside) - 1).join(F.broadcast(first), ["__b", "__s"])
     return numbered.withColumn(out, F.col("__first") + F.col("__at")).drop("__b", "__s", "__at", "__first", *[f"__t{i}" for i in range(len(ties))])
