@@ -19,10 +19,17 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def score_matches(matches: DataFrame, confidence: float = 1.0) -> DataFrame:
-    """Matches (name) that pass the boundary gates, with kind, signals, score and severity."""
-    out = matches.withColumns({"vuln": F.expr(names.vulnerability("name")), "signals": F.expr(names.signals("name"))})
-    out = out.withColumn("score", F.expr(scores.boundary("signals", "vuln", f"CAST({confidence} AS DOUBLE)")))
-    return out.where(F.expr(scores.boundary_passes("signals", "vuln", "score"))).withColumn("severity", F.expr(scores.boundary_severity("score")))
+    """Matches (name) that pass the boundary gates, with vuln, signals, score and severity.
+
+    Each step binds what the one before gives to a lambda's variable: as columns, the filter would be pushed below the
+    projections and repeat their expressions many times over."""
+    named = f"array(named_struct('vuln', {names.vulnerability('name')}, 'signals', {names.signals('name')}))"
+    score = scores.boundary("q.signals", "q.vuln", f"CAST({confidence} AS DOUBLE)")
+    scored = f"transform({named}, q -> named_struct('vuln', q.vuln, 'signals', q.signals, 'score', {score}))"
+    passes = scores.boundary_passes("q.signals", "q.vuln", "q.score")
+    judged = f"transform({scored}, q -> named_struct('vuln', q.vuln, 'signals', q.signals, 'score', q.score, 'severity', {scores.boundary_severity('q.score')}, 'passes', {passes}))[0]"
+    out = matches.withColumn("__r", F.expr(judged)).where("__r.passes")
+    return out.select(*matches.columns, *[F.col(f"__r.{c}").alias(c) for c in ("vuln", "signals", "score", "severity")])
 
 
 def call_sites(instructions: DataFrame) -> DataFrame:
