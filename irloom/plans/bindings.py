@@ -37,13 +37,14 @@ FROM {{events}}""",
     "facts": """
 SELECT 'cfg_edge' AS kind, CAST(n_nationkey AS BIGINT) AS subject, CAST(n_regionkey + 1000 AS BIGINT) AS object, CAST(n_regionkey AS BIGINT) AS context FROM {nation}
 UNION ALL SELECT 'dfg_edge', o_orderkey + 2000000000, o_custkey + 1000000000, CAST(0 AS BIGINT) FROM {orders}
-UNION ALL SELECT 'alias_may', l_suppkey + 3000000000, l_partkey + 4000000000, CAST(0 AS BIGINT) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem} WHERE l_quantity = 50 AND l_returnflag = 'R') a
+UNION ALL SELECT 'alias_may', l_suppkey + 3000000000, l_partkey + 4000000000, CAST(0 AS BIGINT) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) a
 UNION ALL SELECT 'allocation', o_orderkey + 2000000000, o_custkey + 1000000000, CAST(1 AS BIGINT) FROM {orders} WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'ownership_free', l_orderkey + 2000000000, l_suppkey + 3000000000, CAST(l_linenumber AS BIGINT) FROM {lineitem} WHERE l_returnflag = 'R'
 UNION ALL SELECT 'taint', user_id, event_id, CAST(0 AS BIGINT) FROM {events} WHERE event_type = 'error'""",
-    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey % 97 AS dst FROM {lineitem} WHERE l_quantity = 50 AND l_returnflag = 'R'",
-    "dag": "SELECT DISTINCT least(l_suppkey, l_partkey % 97) AS src, greatest(l_suppkey, l_partkey % 97) AS dst FROM {lineitem} WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linenumber = 1 AND l_suppkey <> l_partkey % 97",
-    "factors": "SELECT DISTINCT l_suppkey AS src, l_partkey % 97 AS dst, CAST(CASE (l_suppkey + l_partkey % 97) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.95 ELSE 0.3 END AS DOUBLE) AS factor FROM {lineitem} WHERE l_quantity = 50 AND l_returnflag = 'R'",
+    # every pair of a supplier and a part; both keys number the nodes of one graph, so that it has long ways and cycles
+    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}",
+    "dag": "SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM {lineitem} WHERE l_suppkey <> l_partkey",
+    "factors": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, CAST(CASE (l_suppkey + l_partkey) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.95 ELSE 0.3 END AS DOUBLE) AS factor FROM {lineitem}",
     "calls": """
 SELECT DISTINCT concat('c', CAST(o_custkey AS STRING)) AS caller, concat('s', CAST(l_suppkey AS STRING)) AS callee, cn.n_regionkey AS caller_lang, sn.n_regionkey AS callee_lang
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey

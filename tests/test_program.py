@@ -97,3 +97,22 @@ def test_entry_without_the_optional_package(monkeypatch):
     monkeypatch.undo()
     sys.modules.pop("__spark_entry__", None)
     assert len([n for n in importlib.import_module("__spark_entry__").queries() if n.startswith("op") and n[2].isdigit()]) in (0, 10)
+
+
+def test_graph_relations_hold_every_pair(spark, tmp_path):
+    pairs = {(s, p) for s in range(4) for p in (s + 1, 3 * s, 150 + s)}
+    rows = [(1, s, p, 7, "N", 2) for s, p in sorted(pairs)] * 2
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity long, l_returnflag string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, kinds in (("nation", "n_nationkey long, n_regionkey long"), ("orders", "o_orderkey long, o_custkey long, o_orderstatus string"), ("events", "user_id long, event_id long, event_type string")):
+        spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = bindings.Tables(spark, str(tmp_path))
+    dag = {(min(x), max(x)) for x in pairs if x[0] != x[1]}
+    for name, want in (("edges", pairs), ("dag", dag), ("factors", pairs)):
+        got = t.bind(name).select("src", "dst").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    alias = t.bind("facts").where("kind = 'alias_may'").collect()
+    assert {(r.subject - 3_000_000_000, r.object - 4_000_000_000) for r in alias} == pairs
+    closed = set(dag)
+    while more := {(a, d) for a, b in closed for c, d in closed if b == c} - closed:
+        closed |= more
+    assert {(r.subject, r.object) for r in catalog.queries()["fixpoint_transitive"](spark, str(tmp_path)).collect()} == closed
