@@ -66,10 +66,11 @@ def cross_language(edges: DataFrame, languages: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "dst", "left").where(F.col("callee_lang").isNull() | (F.col("caller_lang") != F.col("callee_lang")))
 
 
-def same_type_pairs(pointers: DataFrame, most: int = 64) -> DataFrame:
-    """a, b: pointers (func, type, ptr) of one function and type, the first `most` of each group by id: may alias."""
+def same_type_pairs(pointers: DataFrame, most: int | None = 64) -> DataFrame:
+    """a, b: pointers (func, type, ptr) of one function and type, the first `most` of each group by id (None: all): may alias."""
     rank = F.row_number().over(Window.partitionBy("func", "type").orderBy("ptr"))
-    few = pointers.withColumn("rank", rank).where(F.col("rank") <= most)
+    few = pointers.withColumn("rank", rank)
+    few = few if most is None else few.where(F.col("rank") <= most)
     a, b = few.alias("a"), few.alias("b")
     return a.join(b, (F.col("a.func") == F.col("b.func")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.rank") < F.col("b.rank"))).select("a.func", F.col("a.ptr").alias("a"), F.col("b.ptr").alias("b"))
 

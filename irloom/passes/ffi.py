@@ -56,9 +56,9 @@ def resolutions(m: Module) -> DataFrame:
 
 
 def alias_pairs(m: Module) -> DataFrame:
-    """Pointers of one function and type that may be the same, the first 64 of each by name; casts of one base must be."""
+    """Pointers of one function and type that may be the same; casts of one base must be."""
     made = m.instructions.where("result IS NOT NULL AND opcode IN ('call', 'invoke', 'load', 'alloca', 'getelementptr', 'phi', 'select')").select(F.concat_ws("\x01", *KEY).alias("func"), F.coalesce("type", F.lit("ptr")).alias("type"), F.col("result").alias("ptr"))
-    return matching.same_type_pairs(made)
+    return matching.same_type_pairs(made, None)
 
 
 def danger_pointers(m: Module) -> DataFrame:

@@ -209,10 +209,10 @@ def family_matches(t):
     return matching.release_matches(t.bind("allocs"), t.bind("frees"), vocab.families(t.spark))
 
 
-@query("SELECT a.l_orderkey AS func, a.p AS a, b.p AS b FROM (SELECT l_orderkey, l_returnflag, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey FROM lineitem WHERE l_orderkey < 2000)) a JOIN (SELECT l_orderkey, l_returnflag, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey FROM lineitem WHERE l_orderkey < 2000)) b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.r < b.r AND a.r <= 64 AND b.r <= 64")
+@query("SELECT a.l_orderkey AS func, a.p AS a, b.p AS b FROM (SELECT l_orderkey, l_returnflag, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey FROM lineitem)) a JOIN (SELECT l_orderkey, l_returnflag, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey FROM lineitem)) b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.r < b.r")
 def may_alias_pairs(t):
-    pointers = t["lineitem"].where("l_orderkey < 2000").select(F.col("l_orderkey").alias("func"), F.col("l_returnflag").alias("type"), F.col("l_partkey").alias("ptr")).distinct()
-    return matching.same_type_pairs(pointers)
+    pointers = t["lineitem"].select(F.col("l_orderkey").alias("func"), F.col("l_returnflag").alias("type"), F.col("l_partkey").alias("ptr")).distinct()
+    return matching.same_type_pairs(pointers, None)
 
 
 @query(f"WITH s AS (SELECT DISTINCT name, {names.stem('name')} AS stem, {names.allocator_score('name')} AS a, {names.deallocator_score('name')} AS d FROM {SYMBOLS}) SELECT x.name AS allocator, y.name AS deallocator, round((x.a + y.d) / 2, 6) AS score FROM s x JOIN s y ON x.stem = y.stem AND x.name <> y.name WHERE x.a >= 0.3 AND y.d >= 0.3")
@@ -220,9 +220,9 @@ def mined_pairs(t):
     return matching.mine_pairs(t.bind("symbols"))
 
 
-@query("SELECT x.o_orderkey AS call_id, y.c_custkey AS func FROM orders x JOIN customer y ON x.o_orderstatus = CASE WHEN y.c_nationkey % 2 = 0 THEN 'F' ELSE 'P' END AND x.o_custkey % 25 = y.c_nationkey AND x.o_orderkey % 100 = y.c_custkey % 100 WHERE x.o_orderkey < 5000")
+@query("SELECT x.o_orderkey AS call_id, y.c_custkey AS func FROM orders x JOIN customer y ON x.o_orderstatus = CASE WHEN y.c_nationkey % 2 = 0 THEN 'F' ELSE 'P' END AND x.o_custkey % 25 = y.c_nationkey AND x.o_orderkey % 100 = y.c_custkey % 100")
 def devirtualised_calls(t):
-    calls = t["orders"].where("o_orderkey < 5000").select(F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("ret_type"), F.array((F.col("o_custkey") % 25).cast("string"), (F.col("o_orderkey") % 100).cast("string")).alias("param_types"))
+    calls = t["orders"].select(F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("ret_type"), F.array((F.col("o_custkey") % 25).cast("string"), (F.col("o_orderkey") % 100).cast("string")).alias("param_types"))
     functions = t["customer"].select(F.col("c_custkey").alias("func"), F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("P").alias("ret_type"), F.array(F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 100).cast("string")).alias("param_types"))
     return matching.devirtualise(calls, functions)
 

@@ -25,10 +25,10 @@ def memory_propagation(t):
     return program.propagate_memory(t.bind("allocs").select(F.col("ptr").alias("arg"), (F.col("ptr") + 100_000_000).alias("param"), "callee"))
 
 
-@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES} WHERE src % 4 = 0 UNION SELECT dst, src FROM {EDGES} WHERE src % 4 = 0), r AS (SELECT DISTINCT ptr % 97 AS node FROM {FREES} WHERE callee = 'fclose' AND ptr < 400 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT DISTINCT ptr % 97 AS node FROM {FREES} WHERE callee = 'fclose' UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
 def danger_surface(t):
-    args = t.bind("frees").where("ptr < 400").select("callee", (F.col("ptr") % 97).alias("ptr"))
-    return program.danger_surface(t.spark.createDataFrame([("fclose",)], "callee string"), args, t.bind("edges").where("src % 4 = 0"))
+    args = t.bind("frees").select("callee", (F.col("ptr") % 97).alias("ptr"))
+    return program.danger_surface(t.spark.createDataFrame([("fclose",)], "callee string"), args, t.bind("edges"))
 
 
 @query("SELECT s_suppkey AS name, s_suppkey % 3 = 0 AS address_taken FROM supplier WHERE s_acctbal > 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linestatus = 'F')")

@@ -116,3 +116,16 @@ def test_graph_relations_hold_every_pair(spark, tmp_path):
     while more := {(a, d) for a, b in closed for c, d in closed if b == c} - closed:
         closed |= more
     assert {(r.subject, r.object) for r in catalog.queries()["fixpoint_transitive"](spark, str(tmp_path)).collect()} == closed
+
+
+def test_joins_hold_every_id(spark, tmp_path):
+    lines = [(k, p, 0, "R", "F", "2020-01-01", 1, 1, 1, 1, 1) for k, n in ((1, 3), (9_000, 80)) for p in range(n)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate string, l_linenumber int, l_quantity long, l_extendedprice long, l_discount long, l_tax long"
+    spark.createDataFrame([(k, p, 4 if k == 9_000 else 1, *rest) for k, p, _, *rest in lines], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, 3, "F"), (9_007, 3, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(107, 3), (207, 4)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path))
+    assert run("may_alias_pairs").count() == 3 + 80 * 79 // 2
+    spark.createDataFrame([(7, 4, "F"), (9_007, 4, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert {r.call_id for r in run("devirtualised_calls").collect()} == {7, 9_007}
+    assert {r.node for r in run("danger_surface").collect()} == set(range(80))
