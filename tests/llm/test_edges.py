@@ -453,3 +453,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["near_duplicates"] == [*range(60), 300] and seen["decontamination"] == list(range(60))
     assert set(seen["mixing"]) <= set(range(60)) and seen["sharding"] == seen["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+
+
+def test_language_stage_follows_the_classifiers(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    pools = {"en": ["the", "cat", "house", "with"], "de": ["straße", "über", "nicht", "haus"]}
+    rows = [(i, " ".join(rng.choice(pools[k]) for _ in range(12)), k, "s", 1) for i in range(300) for k in [list(pools)[i % 2]]]
+    docs = spark.createDataFrame([*rows, (900, "the haus cat nicht " * 3, None, "s", 1), (901, "12", None, "s", 1)], DOCS)
+    model = language_id.train(docs)
+    vague = {r.doc_id for r in language_id.predict(docs, model, ["doc_id"]).where("ambiguous").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} | {900, 901} - vague and 901 in vague
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()} == {r[0] for r in rows} | {900}
