@@ -6,8 +6,9 @@ eta times as much as error across it. Codes are chosen by coordinate descent und
 squares it gives. The codebook is fitted on at most about ``SAMPLE`` rows; every row is indexed.
 
 A query becomes a table of 16 products for each subspace (two of them joined to one of 256, for one lookup a byte). A task scans
-its share of the index with these tables, keeps the ``RERANK`` best rows of each batch, computes their inner products in double
-precision from the original vectors, and carries the best k of all its batches on. Queries go out in blocks of bounded size.
+its share of the index with these tables, keeps the ``RERANK`` (or k, if more) best vectors of each batch, computes their inner
+products in double precision from the original vectors, and carries the best k of all its batches on. Equal vectors are one entry
+of the index with its smallest ids, so copies take one place. Queries go out in blocks of bounded size.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite components takes no part, nor does one whose length
 is not the commonest (ties: the larger) or a row without id; rows that share the query's id are the query's own; of query rows
@@ -130,6 +131,14 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     return rows.where(F.size("v") == d), d
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """v, ids: each vector once, with its smallest ids in order, as often as they occur; enough for k that aren't a query's own."""
+    each = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    first = each.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    ids = F.sort_array(F.collect_list(F.struct("vec_id", "n")))
+    return first.groupBy("v").agg(F.slice(F.flatten(F.transform(ids, lambda r: F.array_repeat(r["vec_id"], r["n"]))), 1, 2 * k).alias("ids"))
+
+
 def search(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query (a column of vec_id), its k nearest other rows."""
     spark = df.sparkSession
@@ -149,11 +158,12 @@ def search(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str
         for b in batches:
             if b.num_rows:
                 codes = pack(encode(_vectors(b.column("v"), d).astype(np.float64), book.value))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "code"])
+                yield pa.RecordBatch.from_arrays([b.column("ids"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["ids", "v", "code"])
 
     tasks = max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
-    indexed = materialise(rows.repartition(tasks).mapInArrow(index, "vec_id long, v array<float>, code binary"), "ann-index")
-    asks = indexed.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    indexed = materialise(distinct(rows, k).repartition(tasks).mapInArrow(index, "ids array<long>, v array<float>, code binary"), "ann-index")
+    rerank = max(rerank, k)
+    asks = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
     asks = materialise(asks, "ann-queries")
     blocks = max(1, math.ceil(asks.count() / QUERY_BLOCK))
     found = None
@@ -171,20 +181,25 @@ def search(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str
             for b in batches:
                 if not b.num_rows:
                     continue
-                own = b.column("vec_id").to_numpy()
+                own = b.column("ids").flatten().to_numpy()
+                lengths = pa.compute.list_value_length(b.column("ids")).to_numpy().astype(np.int64)
+                starts = np.cumsum(lengths) - lengths
                 x = _vectors(b.column("v"), d).astype(np.float64)
-                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
+                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(lengths), -1)
                 columns = np.ascontiguousarray(codes.T).astype(np.intp)
-                total, one = np.empty(len(own), np.float32), np.empty(len(own), np.float32)
+                total, one = np.empty(len(lengths), np.float32), np.empty(len(lengths), np.float32)
                 for s in range(0, len(ids), 256):
                     for q, lut in enumerate(tables(exact[s : s + 256], book.value), s):
                         np.take(lut[0], columns[0], out=total, mode="clip")
                         for j in range(1, len(columns)):
                             np.take(lut[j], columns[j], out=one, mode="clip")
                             total += one
-                        some = np.argpartition(-total, rerank)[: rerank + 1] if len(own) > rerank + 1 else np.arange(len(own))
-                        some = some[own[some] != ids[q]]
-                        i, score = np.concatenate((best[q][0], own[some])), np.concatenate((best[q][1], x[some] @ exact[q]))
+                        some = np.argpartition(-total, rerank)[: rerank + 1] if len(lengths) > rerank + 1 else np.arange(len(lengths))
+                        many = lengths[some]
+                        at = np.repeat(starts[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                        near, exactly = own[at], np.repeat(x[some] @ exact[q], many)
+                        others = near != ids[q]
+                        i, score = np.concatenate((best[q][0], near[others])), np.concatenate((best[q][1], exactly[others]))
                         top = np.lexsort((i, -score))[:k]
                         best[q] = i[top], score[top]
             sizes = [len(i) for i, _ in best]

@@ -410,6 +410,23 @@ def test_search_few_rows(spark):
     assert ann.search(df.limit(0), lambda i: i % 20 == 0, 20).count() == 0
 
 
+def test_search_many_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    x[1] = 2 * x[0]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(1000 - i, [float(a) for a in x[1]]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    for k, rerank in ((20, 4), (300, 4), (20, 200)):
+        out = ann.search(df, lambda i: i % 1001 == 0, k, rerank=rerank).orderBy("rank").collect()
+        ids, all_ = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+        score = all_ @ x[0].astype(float)
+        want = [(int(ids[j])) for j in np.lexsort((ids, -np.round(score, 9))) if ids[j] != 0][:k]
+        assert [r.vec_id for r in out] == want
+    far = ann.search(df, lambda i: i == 2, 20).collect()
+    score = {int(i): float(np.dot(v, x[2].astype(float))) for i, v in rows if i != 2}
+    assert sorted((r.score for r in far), reverse=True) == pytest.approx(sorted(score.values(), reverse=True)[:20])
+
+
 # --- chat
 
 
