@@ -80,6 +80,7 @@ class Benchmark:
                 self.ids.append(item_id)
                 self.texts.append(data)
         lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.lengths = lengths
         self.edits = np.floor(rate * lengths).astype(np.int64)
         self.needs = lengths + 1 - Q - self.edits * Q
         pieces = -(-lengths // SEGMENT)
@@ -156,9 +157,9 @@ class Benchmark:
         where, k = where[true], k[true]
         bands: list[np.ndarray] = []
         step = max(1, (4 << 20) // max(1, int((self.last[k] - self.first[k]).mean() if len(k) else 1)))
-        # counts of a band may come from two steps: steps overlap by `reach`, and both see the whole of a region
-        begin = 0
-        while begin < len(where):
+        # counts of bands that later places may still add to are carried from step to step
+        open_ = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in (0, 1)]
+        for begin in range(0, len(where), step):
             end = min(len(where), begin + step)
             part = slice(begin, end)
             many = self.last[k[part]] - self.first[k[part]]
@@ -167,16 +168,18 @@ class Benchmark:
             for half in (0, 1):
                 broad = 2 * (self.edits[item] + 1)
                 band = (diagonal + (1 << 20) * broad + half * (broad // 2)) // broad
-                key, count = np.unique(item << np.int64(40) | band, return_counts=True)
-                owner = key >> 40
-                good = count >= self.needs[owner]
-                owner, b = owner[good], key[good] & ((1 << 40) - 1)
+                new, count = np.unique(item << np.int64(40) | band, return_counts=True)
+                key, at = np.unique(np.concatenate((open_[half][0], new)), return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, at, np.concatenate((open_[half][1], count)))
+                owner, b = key >> 40, key & ((1 << 40) - 1)
                 wide_ = 2 * (self.edits[owner] + 1)
-                bands.append(np.stack((owner, (b - (1 << 20)) * wide_ - half * (wide_ // 2))))
-            if end == len(where):
-                break
-            back = int(np.searchsorted(where, where[end - 1] - 2 * reach))
-            begin = back if back > begin else end
+                low = (b - (1 << 20)) * wide_ - half * (wide_ // 2)
+                good = total >= self.needs[owner]
+                bands.append(np.stack((owner[good], low[good])))
+                if end < len(where):
+                    more = ~good & (low + wide_ + self.lengths[owner] > where[end])
+                    open_[half] = key[more], total[more]
         both = np.unique(np.concatenate(bands, axis=1), axis=1) if bands else np.zeros((2, 0), np.int64)
         return both[0], both[1]
 

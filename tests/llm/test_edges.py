@@ -272,6 +272,17 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.find(odd_docs(spark), bench).count() == 0
 
 
+def test_passage_across_steps():
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(2_000))
+    bench = decontamination.Benchmark([(k, item) for k in range(100)])
+    half = item[: len(item) // 2]
+    text = (half + " " + half + " " + half + " " + half)[: 41_943 - len(half)] + " " + item
+    data = decontamination.normalise(np.frombuffer(text.encode(), np.uint8))[0]
+    found = bench.hits(data)
+    assert {h[0] for h in found} == set(range(100)) and all(h[3] == 0 for h in found)
+
+
 # --- learned operators
 
 
