@@ -169,7 +169,7 @@ def callbacks(m: Module) -> DataFrame:
 
 @detector("rust-rules", ("ffi-boundary",))
 def rust_rules(m: Module) -> DataFrame:
-    """Rust to C: pointers of as_ptr handed on, boxes given away by into_raw and not taken back, memory handed over and freed."""
+    """Rust to C: pointers of as_ptr handed on, boxes given away by into_raw and not taken back."""
     rust = base.calls(m).where(base.function_language() == "rust")
     lent = rust.where(F.col("callee").contains("as_ptr") & F.col("result").isNotNull()).select(*KEY, F.col("result").alias("value"))
     sink = base.operands(m).where("callee IS NOT NULL").where((base.function_language("callee") == "c") & ~F.col("callee").contains("as_ptr")).withColumn("value", F.col("o.value"))

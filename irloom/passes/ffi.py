@@ -155,7 +155,7 @@ def callback_lifecycle(m: Module) -> DataFrame:
 
 @detector("error-propagation", ("ffi-boundary", "call-graph"))
 def error_propagation(m: Module) -> DataFrame:
-    """Results of foreign functions that report errors (integers or pointers) and are never used; throws next to foreign callers."""
+    """Results of foreign functions that report errors (integers or pointers) and are never used."""
     used = base.uses(m).select(*KEY, "value").distinct()
     asked = boundary_calls(m).where(F.col("type").rlike(r"^(i\d+|ptr)") & F.col("callee").rlike("(_init|_open|_read|_write|_send|_recv|_connect|_exec|_load|_parse|errno|status)")).withColumn("value", F.coalesce("result", F.lit("")))
     return issue(asked.join(used, [*KEY, "value"], "left_anti"), "unchecked_return", "medium", 0.75, "error of a foreign function is ignored")
