@@ -1,17 +1,24 @@
 """Near-duplicates by SimHash, searched with vantage-point trees.
 
 1. Fingerprints. Words are cut from the text with A-Z lowered, shingled and hashed with XXH64 (seed 42); a bit is 1 if it is set
-   in over half of the shingle hashes. A text without words has fingerprint zero. More than 64 bits come from remixed hashes.
+   in over half of the shingle hashes (a rule with a similarity counts each shingle once). A text without words has fingerprint
+   zero. More than 64 bits come from remixed hashes.
 2. Shards. A vantage-point tree over a bounded sample of fingerprints gives the shards: each node splits by the Hamming distance
    to its vantage point, at about the median. Every fingerprint belongs to one leaf; as a visitor it also enters each leaf that
    the triangle bound cannot rule out. Bounds work on blocks of bits: two fingerprints within t bits of each other differ by at
    most t // m bits in one of m blocks, so each block has a tree of its own with that smaller radius, which prunes far more than
-   a radius of t on all bits would. With m <= t + 1 blocks and that radius no pair is lost.
-3. Inside a shard the tree goes on in memory; leaves compare all bits exactly. A shard returns a spanning forest of its pairs,
-   never the pairs, so a large group of copies costs as many rows as it has fingerprints.
-4. Forests meet by star contraction (large star, small star) on DataFrames, until nothing changes.
-
-Only distinct fingerprints are searched: exact copies are folded before the first shuffle by them.
+   a radius of t on all bits would. With m <= t + 1 blocks and that radius no pair is lost. A leaf whose share of the sample
+   makes it larger than a shard is cut into parts, and each two of them meet in a shard of their own: no leaf fills one task.
+3. Inside a shard the tree goes on in memory; leaves compare all bits exactly, but what lies within a third of the bits of one
+   point needs no comparison among itself. A shard returns a minimum spanning forest of its pairs, never the pairs, so a large
+   group of copies costs as many rows as it has fingerprints.
+4. A rule with a similarity then joins the shingle sets of both ends to each edge and keeps the edges whose sets have that
+   Jaccard similarity. A path in a minimum spanning forest has no edge longer than the pair that it joins, so a similar pair
+   stays together unless a still closer pair on its path fails.
+5. Forests meet by star contraction (large star, small star) on DataFrames, until nothing changes.
+
+Only distinct fingerprints (distinct shingle sets, where a similarity counts) are searched: copies are folded before the first
+shuffle. A node's name begins with its smallest id, so the root of a component carries the component's smallest id.
 
 Defined cases: a null text is an empty one; all texts without words share fingerprint zero and are linked like any others; rows
 with the same id and different texts keep their own fingerprints; a null id takes part and is never the smallest; an empty table
@@ -20,13 +27,14 @@ gives an empty result; extra columns stay (``doc_id`` and ``text`` are read by n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irloom.llm.common import materialise, table, text_slices
@@ -40,19 +48,32 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Rule:
-    """What counts as linked: `bits` or fewer differing bits of 64 * `lanes`; `blocks` trees, each of radius `radius`."""
+    """What counts as linked: `bits` or fewer differing bits of 64 * `lanes`; `blocks` trees, each of radius `radius`.
+
+    With `similarity`, pairs within `bits` are candidates, and their shingle sets decide."""
 
     shingle: int = 4
     lanes: int = 1
     bits: int = 4
     blocks: int = 3
     radius: int = 1
+    similarity: float | None = None
 
 
 EXACT = Rule()
-#: Five words, similarity 0.8 or more: sets with Jaccard J have cosine 2J / (1 + J), so bits differ with odds acos(8/9) / pi =
-#: 0.151, 38 of 256. Such a pair agrees up to one bit in one of the 16 blocks of 16 bits with odds above 0.99.
-STAGE = Rule(shingle=5, lanes=4, bits=38, blocks=16, radius=1)
+
+
+def similar(rows: int, similarity: float = 0.8, shingle: int = 5) -> Rule:
+    """The rule for pairs of shingle sets of that similarity among so many rows.
+
+    Sets with Jaccard J have cosine 2J / (1 + J), so a bit differs with odds p = acos(2J / (1 + J)) / pi, 0.151 at 0.8. Candidates
+    go two deviations beyond the mean, which keeps 0.977 of the pairs just at J and more of those above. Blocks widen as rows
+    grow, so that blocks of unrelated texts agree by chance ever more rarely; of the pairs just at 0.8 some block agrees up to
+    its radius for 0.995, 0.98 and 0.98."""
+    lanes, blocks, radius = (4, 16, 1) if rows <= 1 << 20 else (8, 24, 1) if rows <= 1 << 26 else (16, 32, 2)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = 64 * lanes
+    return Rule(shingle, lanes, int(width * p + 2 * math.sqrt(width * p * (1 - p))), blocks, radius, similarity)
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -93,14 +114,21 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    return [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts]
+
+
 def fingerprint_array(texts: list[bytes], rule: Rule) -> np.ndarray:
     """Fingerprints of the texts: one row each, `lanes` words wide."""
-    hashes = [shingle_hashes(t, rule.shingle) for t in texts]
+    return _majorities(shingle_sets(texts, rule.shingle) if rule.similarity else [shingle_hashes(t, rule.shingle) for t in texts], rule)
+
+
+def _majorities(hashes: list, rule: Rule) -> np.ndarray:
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros((len(texts), rule.lanes), np.uint64)
+    out = np.zeros((len(hashes), rule.lanes), np.uint64)
     some = counts > 0
     if some.any():
-        flat = np.array([h for row in hashes for h in row], np.uint64)
+        flat = np.concatenate([np.asarray(row, np.uint64) for row in hashes])
         for lane in range(rule.lanes):
             out[some, lane] = majority(_remix(flat, lane) if lane else flat, counts[some])
     return out
@@ -119,15 +147,23 @@ def _from_binary(values: pa.Array | pa.ChunkedArray, lanes: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, rule: Rule = EXACT, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, fp (big-endian bytes) of every row; `extra` columns (long) come along."""
+    """doc_id, fp (big-endian bytes) and digest of every row; `extra` columns (long) come along.
+
+    Rows of one digest are copies: it is the fingerprint itself or, with a similarity, a hash of the shingle set."""
     extra = extra or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in extra], _as_binary(fingerprint_array(texts, rule))], ["doc_id", *extra, "fp"])
+            if rule.similarity:
+                sets = shingle_sets(texts, rule.shingle)
+                fp = _as_binary(_majorities(sets, rule))
+                digest = pa.array([xxhash.xxh64_digest(x.tobytes(), XXH_SEED) for x in sets], pa.binary())
+            else:
+                fp = digest = _as_binary(fingerprint_array(texts, rule))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in extra], fp, digest], ["doc_id", *extra, "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), *extra, "text").mapInArrow(run, ", ".join(["doc_id long", *[f"`{c}` long" for c in extra], "fp binary"]))
+    return docs.select(F.col("doc_id").cast("long"), *extra, "text").mapInArrow(run, ", ".join(["doc_id long", *[f"`{c}` long" for c in extra], "fp binary, digest binary"]))
 
 
 def _masks(rule: Rule) -> list[tuple[int, np.uint64]]:
@@ -206,14 +242,60 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def search(fps: np.ndarray, own: np.ndarray, lane: int, mask: np.uint64, rule: Rule) -> Forest:
-    """Links among own rows, and between visitors and own rows, within rule.bits on all lanes."""
-    forest = Forest(len(fps))
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (a, b), of length d, make a minimum spanning forest of n points: each tree takes its shortest way out."""
+    order = np.lexsort((b, a, d))
+    a, b, rank, forest = a[order], b[order], np.arange(len(order)), Forest(n)
+    chosen = [np.zeros(0, np.int64)]
+    while True:
+        root = forest._roots(np.arange(n))
+        x, y = root[a[rank]], root[b[rank]]
+        apart = x != y
+        rank, x, y = rank[apart], x[apart], y[apart]
+        if not len(rank):
+            return order[np.concatenate(chosen)]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        forest.link(a[pick], b[pick])
+
+
+class Pairs:
+    """Pairs of n points as they are found, reduced to a minimum spanning forest time and again."""
+
+    def __init__(self, n: int, close: int):
+        self.n, self.close = n, close
+        self.kept = np.zeros((3, 0), np.int64)
+        self.new: list[np.ndarray] = []
+        self.near = np.arange(n)  # root by pairs of length up to `close`: longer pairs inside it are no forest's
+
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+        want = (a != b) & ((d <= self.close) | (self.near[a] != self.near[b]))
+        if want.any():
+            self.new.append(np.stack((a[want], b[want], d[want])).astype(np.int64))
+            if sum(x.shape[1] for x in self.new) > 500_000:
+                self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            every = np.concatenate((self.kept, *self.new), axis=1)
+            self.kept, self.new = every[:, spanning(*every, self.n)], []
+            forest = Forest(self.n)
+            short = self.kept[2] <= self.close
+            forest.link(self.kept[0][short], self.kept[1][short])
+            self.near = forest._roots(np.arange(self.n))
+        return self.kept[0], self.kept[1]
+
+
+def search(fps: np.ndarray, own: np.ndarray, lane: int, mask: np.uint64, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs among own rows, and of visitors with own rows, within rule.bits on all lanes."""
+    pairs = Pairs(len(fps), rule.bits * 3 // 5)
     words = np.ascontiguousarray(fps[:, lane])
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    def compare(points: np.ndarray, visitors: np.ndarray) -> None:
-        asks = np.concatenate((points, visitors))
+    def across(points: np.ndarray, asks: np.ndarray) -> None:
         step = max(1, 400_000 // max(1, len(points)))
         for i in range(0, len(asks), step):
             q = asks[i : i + step]
@@ -221,7 +303,19 @@ def search(fps: np.ndarray, own: np.ndarray, lane: int, mask: np.uint64, rule: R
             for w in range(fps.shape[1]):
                 d += np.bitwise_count(fps[q, w][:, None] ^ fps[points, w][None, :])
             a, b = np.nonzero(d <= rule.bits)
-            forest.link(q[a], points[b])
+            pairs.add(q[a], points[b], d[a, b])
+
+    def compare(points: np.ndarray, visitors: np.ndarray) -> None:
+        across(points, visitors)
+        while len(points) > LEAF:  # points around one of them are within twice that radius of each other: a star joins them
+            d = np.bitwise_count(fps[points] ^ fps[points[0]]).sum(axis=1)
+            ball = d <= rule.bits // 3
+            if ball.sum() * 20 < len(points):
+                break
+            pairs.add(np.full(int(ball.sum()), points[0]), points[ball], d[ball])
+            across(points[ball], points[~ball])
+            points = points[~ball]
+        across(points, points)
 
     stack = [(np.nonzero(own)[0], np.nonzero(~own)[0])]
     while stack:
@@ -246,13 +340,13 @@ def search(fps: np.ndarray, own: np.ndarray, lane: int, mask: np.uint64, rule: R
                 break
         else:
             compare(points, visitors)
-    return forest
+    return pairs.edges()
 
 
 def _contract(edges: DataFrame) -> DataFrame:
     """a, b with b the smallest of a's component, for every a that isn't; edges have a > b."""
     seen = None
-    for _ in range(40):
+    while True:  # every round but the last lowers some label; their number grows with the logarithm of the size
         # large star: each node hands its larger neighbours to the smallest node it knows
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -266,70 +360,131 @@ def _contract(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return edges
         seen = now
-    raise RuntimeError("star contraction did not settle")
 
 
 def forests(unique: DataFrame, rule: Rule = EXACT) -> DataFrame:
-    """Edges a > b (fingerprints) of spanning forests of all links among the distinct fingerprints in column fp."""
+    """Edges a > b (nodes) of spanning forests of all pairs within rule.bits among the rows (node, fp) of unique."""
     n = unique.count()
     sample = unique.select("fp")
     if n > SAMPLE:
-        sample = sample.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)) + 1).limit(2 * SAMPLE)
+        sample = sample.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)) + 1).limit(2 * SAMPLE)
     fitted = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in sample.toLocalIterator())), ">u8").astype(np.uint64).reshape(-1, rule.lanes)
     depth = 0
     while depth < MOST_DEPTH and (n >> depth) > SHARD_ROWS // 2:
         depth += 1
     masks = _masks(rule)
-    trees = unique.sparkSession.sparkContext.broadcast([build(fitted[:, lane], mask, depth) for lane, mask in masks])  # 10 bytes a node
+    trees = []
+    for lane, mask in masks:
+        tree = build(fitted[:, lane], mask, depth)
+        _, leaf, own = route(fitted[:, lane], tree, mask, depth, rule.radius)
+        held = np.bincount(leaf[own], minlength=1 << depth) * (n / max(1, len(fitted)))
+        trees.append((tree, np.maximum(1, np.ceil(held / SHARD_ROWS)).astype(np.int64)))
+    known = unique.sparkSession.sparkContext.broadcast(trees)  # 18 bytes a node
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps = _from_binary(batch.column("fp"), rule.lanes)
+            part_of = _remix(np.frombuffer(b"".join(x[-8:] for x in batch.column("node").to_pylist()), ">u8").astype(np.uint64), 1)
             for k, (lane, mask) in enumerate(masks):
-                row, leaf, own = route(fps[:, lane], trees.value[k], mask, depth, rule.radius)
-                yield pa.RecordBatch.from_arrays([pa.array((leaf + (k << depth)).astype(np.int32)), batch.column("fp").take(pa.array(row)), pa.array(own)], ["shard", "fp", "own"])
+                tree, parts = known.value[k]
+                row, leaf, own = route(fps[:, lane], tree, mask, depth, rule.radius)
+                many = parts[leaf]
+                at = np.repeat(np.arange(len(row)), many)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                row, leaf, own = row[at], leaf[at], own[at]
+                mine = np.where(own, (part_of[row] % many[at].astype(np.uint64)).astype(np.int64), other)
+                places = pa.array(row)
+                shard = (leaf + (k << depth)) << 32 | np.minimum(mine, other) << 16 | np.maximum(mine, other)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("node").take(places), batch.column("fp").take(places), pa.array(own)], ["shard", "node", "fp", "own"])
 
     def pair(group: pa.Table) -> pa.Table:
-        fps, own = _from_binary(group.column("fp"), rule.lanes), group.column("own").to_numpy()
-        order = np.lexsort(fps.T[::-1])
-        fps, own = fps[order], own[order]
-        lane, mask = masks[group.column("shard")[0].as_py() >> depth]
-        up = search(fps, own, lane, mask, rule)._roots(np.arange(len(fps)))
-        apart = np.nonzero(up != np.arange(len(fps)))[0]
-        return pa.Table.from_arrays([_as_binary(fps[apart]), _as_binary(fps[up[apart]])], ["a", "b"])
-
-    dealt = unique.select("fp").mapInArrow(deal, "shard int, fp binary, own boolean")
+        node = group.column("node").combine_chunks()
+        order = pa.compute.sort_indices(node)
+        node, fps, own = node.take(order), _from_binary(group.column("fp"), rule.lanes)[order.to_numpy()], group.column("own").to_numpy()[order.to_numpy()]
+        lane, mask = masks[group.column("shard")[0].as_py() >> 32 >> depth]
+        a, b = search(fps, own, lane, mask, rule)
+        return pa.Table.from_arrays([node.take(pa.array(np.maximum(a, b))), node.take(pa.array(np.minimum(a, b)))], ["a", "b"])
+
+    dealt = unique.select("node", "fp").mapInArrow(deal, "shard long, node binary, fp binary, own boolean")
     return dealt.groupBy("shard").applyInArrow(pair, "a binary, b binary").distinct()
 
 
-def _named(own: DataFrame, rule: Rule) -> DataFrame:
-    """own (doc_id, fp, ...) with component (its smallest fingerprint) and component_id (its smallest id)."""
-    unique = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-distinct")
-    stars = _contract(materialise(forests(unique, rule), "sim-links"))
-    roots = unique.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("component"))
-    ids = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    return own.join(materialise(roots.join(ids, "component").select("fp", "component", "component_id"), "sim-components"), "fp")
+def verified(edges: DataFrame, unique: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The edges between texts whose shingle sets have at least the rule's similarity.
+
+    docs has doc_id, text and __mark, unique the id and mark that stand for a node. A node's set travels as its 64-bit hashes."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    holders = unique.join(ends, "node").select("node", F.col("c.doc_id").alias("__id"), F.col("c.__mark").alias("__m"))
+    texts = docs.join(holders, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["__mark"] == F.col("__m"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            found = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], rule.shingle)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= rule.similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    held = materialise(texts.mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]), "sim-sets")
+    side = lambda end, name: held.select(F.col("node").alias(end), F.col("shingles").alias(name))
+    return edges.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+
+
+_LOWEST = -(1 << 63)
+
+
+def _nodes(own: DataFrame) -> DataFrame:
+    """node, fp, c of each distinct fp and digest; node is a byte for a null id, its smallest id in order of bytes, the digest.
+
+    c is the row that stands for the node: none (no id), doc_id and the other columns of own that it has."""
+    marks = [c for c in own.columns if c == "__mark"]
+    unique = own.groupBy("fp", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)).alias("c"))
+    order = F.lpad(F.hex(F.coalesce("c.doc_id", F.lit(0)).bitwiseXOR(F.lit(_LOWEST))), 16, "0")
+    return unique.select(F.concat(F.unhex(F.concat(F.when(F.col("c.none"), "FF").otherwise("00"), order)), F.col("digest")).alias("node"), "fp", "digest", "c")
+
+
+def _least(node: Column) -> Column:
+    """The smallest id that a node's name begins with."""
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_LOWEST)))
 
 
 def components(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
     """doc_id, fp, component_id (the smallest id of the component) of every row of docs."""
-    return _named(materialise(fingerprints(docs, rule), "sim-fingerprints"), rule).select("doc_id", "fp", "component_id")
+    named = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")}).select("doc_id", "text", "__mark")
+    own = materialise(fingerprints(named, rule, ["__mark"]) if rule.similarity else fingerprints(docs, rule), "sim-fingerprints")
+    unique, stars = _linked(own, named, rule)
+    roots = unique.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fp", "digest", _least(F.coalesce("b", "node")).alias("component_id"))
+    return own.join(materialise(roots, "sim-components"), ["fp", "digest"]).select("doc_id", "fp", "component_id")
+
+
+def _linked(own: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The nodes, and for each that isn't the first of its component (a) the first (b)."""
+    unique = materialise(_nodes(own), "sim-distinct")
+    edges = materialise(forests(unique, rule), "sim-links")
+    if rule.similarity:
+        edges = materialise(verified(edges, unique, docs, rule), "sim-verified")
+    return unique, _contract(edges)
 
 
-def keep_one(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
-    """One row of docs for each component: of the rows with its smallest id, the one of the smallest text hash.
+def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """One row of docs for each component: of the rows with its smallest id, one of the smallest text hash.
 
     Rows without id stay where their component has no row with one. Decisions are joined back by id and a hash of the text."""
-    mark = F.xxhash64("text")
-    keyed = docs.select("doc_id", "text", mark.alias("__mark"))
+    rule = rule or similar(docs.count())
+    there = docs.withColumn("__mark", F.xxhash64("text"))
+    keyed = there.select(F.col("doc_id").cast("long"), "text", "__mark")
     own = materialise(fingerprints(keyed, rule, ["__mark"]), "sim-fingerprints")
-    named = _named(own, rule)
-    chosen = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("c"))
-    chosen = materialise(chosen.select("c.doc_id", "c.__mark"), "sim-chosen")
+    unique, stars = _linked(own, keyed, rule)
+    chosen = materialise(unique.join(stars, unique["node"] == stars["a"], "left_anti").select("c.doc_id", "c.__mark"), "sim-chosen")
     again = materialise(own.join(chosen, own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["__mark"] == chosen["__mark"])).groupBy(own["doc_id"], own["__mark"]).count().where("count > 1").drop("count"), "sim-repeated")
-    there = docs.withColumn("__mark", mark)
     same = lambda other: there["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (there["__mark"] == other["__mark"])
     kept = there.join(chosen, same(chosen), "left_semi")
     if again.isEmpty():
