@@ -1,23 +1,26 @@
 """Maximum inner product search with score-aware (anisotropic) quantisation, four-bit table scans and exact reranking.
 
-Vectors are cut into subspaces of two dimensions with 16 codewords each, so a code takes four bits. The quantiser minimises
-|r|^2 + (eta - 1) * (r . x/|x|)^2 over residuals r: error along the vector itself, which shifts the large inner products, costs
-eta times as much as error across it. Codes are chosen by coordinate descent under that loss; codewords solve the weighted least
-squares it gives. The codebook is fitted on at most about ``SAMPLE`` rows; every row is indexed.
-
-A query becomes a table of 16 products for each subspace (two of them joined to one of 256, for one lookup a byte). A task scans
-its share of the index with these tables, keeps the ``RERANK`` (or k, if more) best vectors of each batch, computes their inner
-products in double precision from the original vectors, and carries the best k of all its batches on. Equal vectors are one entry
-of the index with its smallest ids, so copies take one place. Queries go out in blocks of bounded size.
-
-Defined cases: a vector that is null, empty, zero, or has null or non-finite components takes no part, nor does one whose length
-is not the commonest (ties: the larger) or a row without id; rows that share the query's id are the query's own; of query rows
-with one id the smallest vector asks; fewer candidates than k give them all; an empty table gives an empty result.
+Directions (vectors at length 1) are cut into subspaces of two dimensions with 16 codewords each, so a code takes four bits. The
+quantiser minimises |r|^2 + (eta - 1) * (r . x)^2 over residuals r of a direction x: error along it, which shifts the large inner
+products, costs eta times as much as error across it. Codes are chosen by coordinate descent under that loss; codewords solve the
+weighted least squares it gives, one subspace after another (2 x 2 systems). The codebook is fitted on at most about ``SAMPLE``
+rows; every row is indexed.
+
+A query becomes a table of 16 products for each subspace (two of them joined to one of 256, for one lookup a byte). The index is
+dealt into chunks by a hash of the vector, the queries into blocks by a hash of their id; each chunk meets each block in a group
+of bounded size, in one plan for any number of queries. There the tables are scanned, the ``RERANK`` (or k, if more) best vectors
+get their inner products in double precision from the original vectors, and the best k of each query go on to be merged. Sizes of
+chunks and blocks follow from the row counts alone. Equal vectors are one entry of the index with its smallest ids, so copies take
+one place.
+
+Defined cases: a vector that is null, empty, zero, or has null or non-finite components takes no part, nor does a row without id;
+missing components of shorter vectors are zero; a score that isn't a number (sums of infinite products) comes last; rows that share
+the query's id are the query's own; of query rows with one id the smallest vector asks; fewer candidates than k give them all; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from irloom.llm.common import materialise, table
 
-SAMPLE, ROUNDS, SWEEPS = 8_192, 4, 2
+SAMPLE, ROUNDS, SWEEPS = 8_192, 3, 2
 #: Cosine from which on scores matter; sets eta.
 THRESHOLD = 0.2
-RERANK, QUERY_BLOCK, TASK_ROWS = 200, 4_096, 1 << 18
+RERANK = 200
+#: Fewest and most rows of a chunk and queries of a block, and the share of all that they take in between.
+CHUNK, BLOCK = (4_096, 65_536, 16), (1_024, 16_384, 2)
 
 
 @dataclass(frozen=True)
@@ -49,26 +54,40 @@ def _split(x: np.ndarray) -> np.ndarray:
     return padded.reshape(n, wide // 2, 2)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at length 1, and their lengths (no longer than a double can say)."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    part = x / top
+    size = np.linalg.norm(part, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return part / size, np.minimum(top * size, np.finfo(float).max)[:, 0]
+
+
 def encode(x: np.ndarray, book: Codebook, codes: np.ndarray | None = None) -> np.ndarray:
-    """The codes of the rows of x: each subspace in turn takes the codeword of least loss, others held."""
+    """The codes of the directions in x: each subspace in turn takes the codeword of least loss, others held."""
     parts = _split(x)
-    unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
     n, m, _ = parts.shape
     if codes is None:
-        codes = np.stack([((parts[:, j, None, :] - book.words[j][None]) ** 2).sum(axis=2).argmin(axis=1) for j in range(m)], axis=1)
+        codes = np.stack([_nearest(parts[:, j], book.words[j]) for j in range(m)], axis=1)
     rows = np.arange(m)
-    along = ((book.words[rows, codes] - parts) * unit).sum(axis=(1, 2))
+    along = ((book.words[rows, codes] - parts) * parts).sum(axis=(1, 2))
+    each = np.arange(n)
     for _ in range(SWEEPS):
         for j in range(m):
-            r = book.words[j][None] - parts[:, j, None, :]  # n x 16 x 2
-            par = (r * unit[:, j, None, :]).sum(axis=2)
-            others = along - par[np.arange(n), codes[:, j]]
-            loss = (r**2).sum(axis=2) + (book.eta - 1) * (others[:, None] + par) ** 2
+            p, w = parts[:, j], book.words[j]
+            dot = p @ w.T
+            par = dot - (p**2).sum(axis=1)[:, None]  # the residual of each codeword along the direction
+            others = along - par[each, codes[:, j]]
+            loss = (w**2).sum(axis=1) - 2 * dot + (book.eta - 1) * (others[:, None] + par) ** 2
             codes[:, j] = loss.argmin(axis=1)
-            along = others + par[np.arange(n), codes[:, j]]
+            along = others + par[each, codes[:, j]]
     return codes
 
 
+def _nearest(p: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return ((words**2).sum(axis=1) - 2 * p @ words.T).argmin(axis=1)
+
+
 def fit(x: np.ndarray, threshold: float = THRESHOLD) -> Codebook:
     n, d = x.shape
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
@@ -77,32 +96,29 @@ def fit(x: np.ndarray, threshold: float = THRESHOLD) -> Codebook:
     words = parts[np.linspace(0, n - 1, 16).astype(int)].transpose(1, 0, 2).copy()
     for _ in range(8):  # plain k-means to start from
         for j in range(m):
-            near = ((parts[:, j, None, :] - words[j][None]) ** 2).sum(axis=2).argmin(axis=1)
+            near = _nearest(parts[:, j], words[j])
             count = np.bincount(near, minlength=16)
             for k in range(2):
                 total = np.bincount(near, parts[:, j, k], minlength=16)
                 words[j, :, k] = np.where(count > 0, total / np.maximum(count, 1), words[j, :, k])
-    book, codes = Codebook(words, eta), None
-    unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
+    book, codes, rows = Codebook(words, eta), None, np.arange(m)
     for _ in range(ROUNDS):
         codes = encode(x, book, codes)
-        # columns (subspace, codeword, dimension): sum over rows of B' (I + (eta - 1) u u') (B c - x) = 0
-        size = m * 32
-        left = np.zeros((size, size))
-        right = np.zeros(size)
-        for s in range(0, n, 2048):
-            c, u, p = codes[s : s + 2048], unit[s : s + 2048], parts[s : s + 2048]
-            at = np.arange(m)[None, :] * 32 + c * 2
-            along = np.zeros((len(c), size))
-            i = np.arange(len(c))[:, None]
-            along[i, at], along[i, at + 1] = u[:, :, 0], u[:, :, 1]
-            left += (eta - 1) * along.T @ along
-            right += (eta - 1) * along.T @ (u * p).sum(axis=(1, 2))
-            for k in range(2):
-                np.add.at(right, (at + k).ravel(), p[:, :, k].ravel())
-                left[np.arange(size), np.arange(size)] += np.bincount((at + k).ravel(), minlength=size)
-        left[np.arange(size), np.arange(size)] += 1e-6
-        book = Codebook(np.linalg.solve(left, right).reshape(m, 16, 2), eta)
+        along = ((words[rows, codes] - parts) * parts).sum(axis=(1, 2))
+        for j in range(m):
+            p, c = parts[:, j], codes[:, j]
+            others = along - ((words[j][c] - p) * p).sum(axis=1)
+            want = p * (1 + (eta - 1) * ((p**2).sum(axis=1) - others))[:, None]
+            total = lambda v, c=c: np.bincount(c, v, minlength=16)
+            left = np.empty((16, 2, 2))
+            for a in (0, 1):
+                for b in (0, 1):
+                    left[:, a, b] = total((a == b) + (eta - 1) * p[:, a] * p[:, b]) + (a == b) * 1e-9
+            right = np.stack([total(want[:, 0]), total(want[:, 1])], axis=1)
+            some = np.bincount(c, minlength=16) > 0
+            words[j][some] = np.linalg.solve(left[some], right[some][:, :, None])[:, :, 0]
+            along = others + ((words[j][c] - p) * p).sum(axis=1)
+        book = Codebook(words, eta)
     return book
 
 
@@ -116,19 +132,25 @@ def tables(queries: np.ndarray, book: Codebook) -> np.ndarray:
     return (each[:, 0::2, :, None] + each[:, 1::2, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
 
 
-def _vectors(column: pa.Array, d: int) -> np.ndarray:
-    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, d)
+def _vectors(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    """The vectors of a list column as rows of d components; what a vector lacks is zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64)
+    if len(flat) == len(column) * d:
+        return flat.reshape(-1, d)
+    sizes = pa.compute.list_value_length(column).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), d))
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """vec_id long, v array<float> of the rows that take part, and their length."""
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id long, v array<double> of the rows that take part."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    d = most[0] if most else 0
-    return rows.where(F.size("v") == d), d
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
 def distinct(rows: DataFrame, k: int) -> DataFrame:
@@ -139,76 +161,72 @@ def distinct(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("v").agg(F.slice(F.flatten(F.transform(ids, lambda r: F.array_repeat(r["vec_id"], r["n"]))), 1, 2 * k).alias("ids"))
 
 
+def _parts(rows: int, bounds: tuple[int, int, int]) -> int:
+    """How many parts of a size within the bounds."""
+    least, most, share = bounds
+    return max(1, -(-rows // min(most, max(least, -(-rows // share)))))
+
+
 def search(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query (a column of vec_id), its k nearest other rows."""
     spark = df.sparkSession
-    rows, d = usable(df, id_col, vec_col)
-    kinds = "query_id long, vec_id long, score double"
-    if not d:
+    rows = usable(df, id_col, vec_col)
+    asks = rows.where(is_query(F.col("vec_id")))
+    n, d, queries = rows.select(F.count(F.lit(1)), F.max(F.size("v")), F.count(F.when(is_query(F.col("vec_id")), 1))).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.count()
     odds = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(odds * (1 << 30)) + 1).select("v").limit(2 * SAMPLE).toArrow()
     if not sample.num_rows:
         sample = rows.select("v").limit(SAMPLE).toArrow()
-    x = _vectors(sample.column("v").combine_chunks(), d).astype(np.float64)
+    x = directions(_vectors(sample.column("v"), d))[0]
     book = spark.sparkContext.broadcast(fit(x[np.lexsort(x.T[::-1])]))  # 16 words of each subspace
+    chunks, blocks, rerank = _parts(n, CHUNK), _parts(queries, BLOCK), max(rerank, k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = pack(encode(_vectors(b.column("v"), d).astype(np.float64), book.value))
-                yield pa.RecordBatch.from_arrays([b.column("ids"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["ids", "v", "code"])
-
-    tasks = max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
-    indexed = materialise(distinct(rows, k).repartition(tasks).mapInArrow(index, "ids array<long>, v array<float>, code binary"), "ann-index")
-    rerank = max(rerank, k)
-    asks = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = materialise(asks, "ann-queries")
-    blocks = max(1, math.ceil(asks.count() / QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        mine = asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        got = mine.toArrow()
-        ids = got.column("vec_id").to_numpy()
-        vectors = _vectors(got.column("v").combine_chunks(), d) if len(ids) else np.zeros((0, d), np.float32)
-        held = spark.sparkContext.broadcast((ids, vectors))  # a block of queries
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, vectors = held.value
-            exact = vectors.astype(np.float64)
-            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column("ids").flatten().to_numpy()
-                lengths = pa.compute.list_value_length(b.column("ids")).to_numpy().astype(np.int64)
-                starts = np.cumsum(lengths) - lengths
-                x = _vectors(b.column("v"), d).astype(np.float64)
-                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(lengths), -1)
-                columns = np.ascontiguousarray(codes.T).astype(np.intp)
-                total, one = np.empty(len(lengths), np.float32), np.empty(len(lengths), np.float32)
-                for s in range(0, len(ids), 256):
-                    for q, lut in enumerate(tables(exact[s : s + 256], book.value), s):
-                        np.take(lut[0], columns[0], out=total, mode="clip")
-                        for j in range(1, len(columns)):
-                            np.take(lut[j], columns[j], out=one, mode="clip")
-                            total += one
-                        some = np.argpartition(-total, rerank)[: rerank + 1] if len(lengths) > rerank + 1 else np.arange(len(lengths))
-                        many = lengths[some]
-                        at = np.repeat(starts[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                        near, exactly = own[at], np.repeat(x[some] @ exact[q], many)
-                        others = near != ids[q]
-                        i, score = np.concatenate((best[q][0], near[others])), np.concatenate((best[q][1], exactly[others]))
-                        top = np.lexsort((i, -score))[:k]
-                        best[q] = i[top], score[top]
-            sizes = [len(i) for i, _ in best]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
-
-        part = indexed.mapInArrow(scan, kinds)
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                unit, size = directions(_vectors(b.column("v"), d))
+                yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("ids"), b.column("v"), pa.array(size), pa.array([c.tobytes() for c in pack(encode(unit, book.value))], pa.binary())], ["chunk", "ids", "v", "size", "code"])
+
+    def scan(found: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = asked.column("vec_id").to_numpy()
+        own = found.column("ids").combine_chunks()
+        lengths = pa.compute.list_value_length(own).to_numpy().astype(np.int64)
+        starts, own = np.cumsum(lengths) - lengths, own.flatten().to_numpy()
+        exact, x, size = _vectors(asked.column("v"), d), _vectors(found.column("v"), d), found.column("size").to_numpy()
+        codes = np.frombuffer(b"".join(found.column("code").to_pylist()), np.uint8).reshape(len(lengths), -1)
+        columns = np.ascontiguousarray(codes.T).astype(np.intp)
+        total, one = np.empty(len(lengths), np.float32), np.empty(len(lengths), np.float32)
+        near, scores, many = [], [], []
+        for s in range(0, len(ids), 256):
+            for q, lut in enumerate(tables(directions(exact[s : s + 256])[0], book.value), s):
+                np.take(lut[0], columns[0], out=total, mode="clip")
+                for j in range(1, len(columns)):
+                    np.take(lut[j], columns[j], out=one, mode="clip")
+                    total += one
+                rough = total * size
+                some = np.argpartition(-rough, rerank)[: rerank + 1] if len(lengths) > rerank + 1 else np.arange(len(lengths))
+                each = lengths[some]
+                at = np.repeat(starts[some] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                with np.errstate(over="ignore", invalid="ignore"):
+                    i, score = own[at], np.repeat(x[some] @ exact[q], each)
+                others = i != ids[q]
+                i, score = i[others], score[others]
+                top = np.lexsort((i, -score))[:k]
+                near.append(i[top])
+                scores.append(score[top])
+                many.append(len(top))
+        none = [np.zeros(0)]
+        return pa.table({"query_id": np.repeat(ids, many), "vec_id": np.concatenate(near or none).astype(np.int64), "score": np.concatenate(scores or none)})
+
+    each = distinct(rows, k).withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int")).select("chunk", "ids", "v")
+    indexed = materialise(each.mapInArrow(index, "chunk int, ids array<long>, v array<double>, size double, code binary"), "ann-index")
+    asks = materialise(asks.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "ann-queries")
+    held = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    found = held.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
