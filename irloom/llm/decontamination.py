@@ -11,14 +11,17 @@ A benchmark item of L bytes is found in a text if some passage lies within e = f
 3. Banded alignment of the item with the region, free at both ends of the region; what needs over e edits is dropped.
 
 Texts are never shuffled: the items (blocks of bounded size, one pass each) travel to the texts, which stay where they are read.
+A worker indexes a block once and keeps the index (about 25 times the block's bytes) until it meets another block.
 
-Defined cases: null or empty texts have no hits; an item shorter than q + 1 normalised bytes, null or empty is looked for as an
-exact passage between word ends (empty ones never match); repeated rows and items count each for themselves; an empty benchmark
+Defined cases: null or empty texts have no hits; an item shorter than q + 1 normalised bytes, or one whose bound by the lemma is
+under 1 (which takes a `rate` of 1 / q or more, or a few bytes), is looked for as an exact passage between word ends only; null
+and empty items never match; repeated rows and items count each for themselves; an empty benchmark
 or table gives an empty result; extra columns are ignored. Of overlapping hits of one item the best, then the first, is kept.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,14 +248,26 @@ class Benchmark:
         return [(i, int(a), int(b), int(e)) for (i, _), (a, b, e) in zip(rest, found) if e <= self.edits[i] and a < b and 0 not in data[a:b]]
 
 
+_OPENED: dict[str, Benchmark] = {}
+
+
+def _opened(held, rate: float) -> Benchmark:
+    """The index of a broadcast block (its name and items), built once a worker."""
+    name, items = held.value
+    if name not in _OPENED:
+        _OPENED.clear()
+        _OPENED[name] = Benchmark(items, rate)
+    return _OPENED[name]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, start, end (characters of the text), edits: every benchmark passage in docs."""
     spark, out = docs.sparkSession, None
     for block in _blocks(benchmark):
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))  # BLOCK_BYTES and one item at most
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known = Benchmark(held.value, rate)
+            known = _opened(held, rate)
             for part in text_slices(batches, 2 << 20):
                 yield _scan(part, known)
 
@@ -261,16 +276,17 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """The items in blocks of about BLOCK_BYTES; one block at least."""
-    blocks, block, filled = [], [], 0
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of about BLOCK_BYTES, one block at least; the driver holds one at a time."""
+    block, filled, given = [], 0, 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
         filled += len((row[1] or "").encode())
         if filled >= BLOCK_BYTES:
-            blocks.append(block)
-            block, filled = [], 0
-    return [*blocks, block] if block or not blocks else blocks
+            yield block
+            block, filled, given = [], 0, given + 1
+    if block or not given:
+        yield block
 
 
 def _hits(part: pa.RecordBatch, known: Benchmark) -> tuple[list[int], list[tuple]]:
@@ -301,11 +317,11 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
     """The rows of docs in which no benchmark passage is found, judged where they stand: texts aren't shuffled."""
     out = docs
     for block in _blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))  # BLOCK_BYTES and one item at most
         names = docs.columns
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known = Benchmark(held.value, rate)
+            known = _opened(held, rate)
             for part in text_slices(batches, 2 << 20):
                 clean = np.ones(part.num_rows, bool)
                 clean[_hits(part, known)[0]] = False
