@@ -9,23 +9,26 @@ The permutation alternates modular Feistel rounds on Z_a x Z_b with a*b >= N, a
 of them) walk the cycle until they fall below N.
 
 Row numbers need no global sort: percentiles of the id cut the rows into ranges of like size, a count per range gives each
-range's first number and a window ranks inside a range. A repeated id that is itself a percentile gets ranges of its own by
-text checksum, so that no id, null included, meets in one task.
+range's first number and a window ranks inside a range. A repeated id that is itself a percentile, and the null id, get ranges of
+their own by text checksum; rows equal in id, checksum and size that would fill a range are written and numbered part by part. So
+no id and no repeated row meets in one task.
 
-Defined cases: a null or empty text has checksum 0; null ids come first; repeated rows get numbers of their own; an empty table
-gives an empty result; columns called like the added ones are replaced.
+Defined cases: a null or empty text has checksum 0; ids are numbers, or text that reads as one (what doesn't, and null, comes
+first); repeated rows get numbers of their own, those equal in id, checksum and size in any order; an empty table gives an empty
+result; columns called like the added ones are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from irloom.llm.common import table
+from irloom.llm.common import materialise, table
 
 SEED = 20_240_611
 ROUNDS = 6
@@ -33,7 +36,8 @@ WALK = 32
 PRIME = 2_147_483_647
 #: Rows of one range, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 1024, 65_536
-_SUB = 64
+#: Parts that a lot of equal rows is numbered in.
+PARTS = 1024
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -134,18 +138,20 @@ def _lambda_step(x: str, a: int, b: int, seed: int) -> str:
     )
 
 
-def with_row_number(df: DataFrame, n: int, id_col: str, ties: list[Column], out: str = "global_row") -> DataFrame:
-    """Number all rows from 0 by id (nulls first), then by `ties`, whose first must be a long from 0 to 2**32 - 1."""
+def with_row_number(df: DataFrame, n: int, id_col: str, checksum: Column, size: Column, ties: list[Column] = (), out: str = "global_row") -> DataFrame:
+    """Number all rows from 0 by id (nulls first), checksum (0 to 2**32 - 1), size, then `ties`."""
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to one constant
-    cuts = []
+    ident = F.expr(f"try_cast(`{id_col}` AS BIGINT)")
+    cuts, nulls = [], 0
     if ranges > 1:
-        found = df.select(F.percentile_approx(F.col(id_col).cast("long"), literal([i / ranges for i in range(1, ranges)], "array<double>"), 10 * ranges)).first()[0]
-        cuts = sorted(found or [])
-    heavy = sorted({x for x, y in zip(cuts, cuts[1:]) if x == y})
-    cuts = sorted(set(cuts))
-    ident = F.col(id_col).cast("long")
-    by = df.withColumns({f"__t{i}": t for i, t in enumerate(ties)})
+        found, known = df.select(F.percentile_approx(ident, literal([i / ranges for i in range(1, ranges)], "array<double>"), 10 * ranges), F.count(ident)).first()
+        cuts, nulls = sorted(found or []), n - known
+    times = Counter(cuts)  # an id that is a cut k times holds some k ranges' rows: it gets about as many by checksum
+    heavy = sorted(x for x, k in times.items() if k > 1)
+    cuts = sorted(times)
+    by = df.withColumns({"__id": ident, "__t": checksum * (1 << 31) + F.least(size, F.lit((1 << 31) - 1)), **{f"__t{i}": t for i, t in enumerate(ties)}})
+    ident = F.col("__id")
     # the number of cuts below the id, found in two levels of about sqrt(ranges) each; ids that are cuts stand alone
     if cuts:
         wide = math.isqrt(len(cuts) - 1) + 1
@@ -159,13 +165,29 @@ def with_row_number(df: DataFrame, n: int, id_col: str, ties: list[Column], out:
         by = by.withColumn("__b", F.lit(0))
     by = by.withColumn("__b", F.when(ident.isNull(), F.lit(-1)).otherwise(F.col("__b")).cast("long"))
     alone = ident.isNull() | (ident.isin(heavy) if heavy else F.lit(False))
-    by = by.withColumn("__s", F.when(alone, F.shiftright(F.col("__t0"), 26)).otherwise(F.lit(0)).cast("long"))
-    counts = by.groupBy("__b", "__s").agg(F.count(F.lit(1)).alias("__c"))
-    first = counts.select("__b", "__s", (F.sum("__c").over(Window.orderBy("__b", "__s")) - F.col("__c")).alias("__first"))
-    # a row for each range and cut, and 64 for each id that fills a range: in all not over 2 * MOST_RANGES + 64 * (MOST_RANGES / 2)
-    inside = Window.partitionBy("__b", "__s").orderBy(F.col(id_col), *[F.col(f"__t{i}") for i in range(len(ties))])
-    numbered = by.withColumn("__at", F.row_number().over(inside) - 1).join(F.broadcast(first), ["__b", "__s"])
-    return numbered.withColumn(out, F.col("__first") + F.col("__at")).drop("__b", "__s", "__at", "__first", *[f"__t{i}" for i in range(len(ties))])
+    # rows alike that fill a range: each such lot holds a share of 1 / ranges or more, so there are not more lots than ranges
+    lots = by.where(alone).groupBy("__b", "__t").count().where(F.col("count") >= max(RANGE_ROWS, n / ranges)).select("__b", "__t").collect() if ranges > 1 else []
+    bits = lambda share: max(1, math.ceil(share)).bit_length()
+    held = F.element_at(literal([bits(times[x]) for x in heavy], "array<int>"), F.array_position(literal(heavy, "array<bigint>"), ident).cast("int")) if heavy else F.lit(1)
+    by = by.withColumn("__bits", F.when(ident.isNull(), F.lit(bits(nulls * ranges / max(n, 1)))).otherwise(held))
+    by = by.withColumn("__s", F.when(alone, F.expr("shiftright(__t, 63 - __bits)")).otherwise(F.lit(0)).cast("long")).drop("__bits")
+    if lots:
+        values = literal(sorted({r[1] for r in lots}), "array<bigint>")
+        pairs = literal([{"b": r[0], "t": r[1]} for r in lots], "array<struct<b:bigint,t:bigint>>")
+        place = F.size(F.filter(values, lambda x: x < F.col("__t"))) * 2 + F.array_contains(values, F.col("__t")).cast("int")
+        by = by.withColumn("__w", F.when(alone, place).otherwise(F.lit(0)))
+        lot = alone & F.array_contains(pairs, F.struct(F.col("__b").alias("b"), F.col("__t").alias("t")))
+        alike = materialise(by.where(lot).withColumns({"__p": F.spark_partition_id() % PARTS, "__row": F.monotonically_increasing_id()}), "shard-lots")
+        by = by.where(~lot).withColumns({"__p": F.lit(0), "__row": F.lit(0).cast("long")}).unionByName(alike)
+    else:
+        by = by.withColumns({"__w": F.lit(0), "__p": F.lit(0), "__row": F.lit(0).cast("long")})
+    keys = ["__b", "__s", "__w", "__p"]
+    counts = by.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+    first = counts.select(*keys, (F.sum("__c").over(Window.orderBy(*keys)) - F.col("__c")).alias("__first"))
+    # a row for each range and cut, two or so for each range that repeated ids fill, PARTS for each lot
+    order = [F.col("__id").asc_nulls_first(), F.col("__t"), *[F.col(f"__t{i}") for i in range(len(ties))], F.col("__row")]
+    numbered = by.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).join(F.broadcast(first), keys)
+    return numbered.withColumn(out, F.col("__first") + F.col("__at")).drop(*keys, "__id", "__t", "__row", "__at", "__first", *[f"__t{i}" for i in range(len(ties))])
 
 
 def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -177,7 +199,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     checksum = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
     others = F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])  # maps have no hash
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    numbered = with_row_number(df, n, id_col, [checksum, size, others])
+    numbered = with_row_number(df, n, id_col, checksum, size, [others])
     placed = with_place(numbered, "global_row", n, seed, "__place")
     return placed.withColumns({"shard": (F.col("__place") % shards).cast("int"), "slot": F.expr(f"__place div {shards}L")}).drop("__place")
 
@@ -194,7 +216,7 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     n = docs.count()
-    placed = with_place(with_row_number(sized, n, "doc_id", [F.col("text_crc32"), F.col("size")]), "global_row", n, SEED, "place")
+    placed = with_place(with_row_number(sized, n, "doc_id", F.col("text_crc32"), F.col("size")), "global_row", n, SEED, "place")
     return placed.select(
         "doc_id",
         "size",
