@@ -1,9 +1,7 @@
-"""What the operators of this package share: shared-storage materialisation and small column helpers."""
+"""What the operators of this package share: column helpers, and Arrow batches cut to bounded pieces."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,29 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from irloom.functions.storage import materialise
+
+__all__ = ["WORD", "id_remainder", "materialise", "table", "text_slices", "utf8"]
 
 #: A word, where a contract counts or shingles words: a run of bytes other than ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="irloom-")
-        _OWN[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation of df,
-    and later passes prune columns."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,8 +26,8 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the column `text` of each holds about `most` bytes (one longer text stays whole)."""
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, rows: int = 2_048) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each has at most `rows` rows and the column `text` about `most` bytes (one longer text stays whole)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,7 +36,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

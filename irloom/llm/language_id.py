@@ -8,8 +8,10 @@ the softmax of the negative losses; a text is ambiguous where the two best langu
 Codewords come from a rule, for any number of languages: one bit per language (one against the rest), then bits that split the
 languages in halves by the bits of their index and of its Gray code, without repeated or constant columns.
 
-The classifiers are fitted on a sample of at most about ``MOST_ROWS`` labelled rows, chosen by a hash of id and text and spread
-evenly over the languages; each row gives one vector of n-gram shares, computed where the row is, over its whole text.
+The classifiers are fitted on a sample of at most ``MOST_ROWS`` labelled rows, chosen by a hash of id and text and spread evenly
+over the languages (``LEAST_ROWS`` of each, if that is more); each row gives one vector of n-gram shares, computed where the row
+is, over its whole text. The ``MOST_LABELS`` commonest languages are learned (of equally common ones the first by name): that
+bounds the model, which grows with their number, and rarer labels teach nothing.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; labels null or without rows teach nothing; with
 no labelled row all is ``und``; one label only is always predicted; repeated rows count as often as they occur; an empty table
@@ -23,14 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from irloom.llm.common import id_remainder, table, text_slices, utf8
 
 UND = "und"
 FEATURES = 4096
-MOST_ROWS, MOST_LABELS = 4_000, 512
+MOST_ROWS, LEAST_ROWS, MOST_LABELS = 4_000, 8, 1_024
+PIECE, ROWS = 1 << 20, 512
 GAP = 0.5
 STEPS, RATE, DECAY = 300, 0.5, 1e-5
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -63,23 +66,22 @@ def codebook(labels: int) -> np.ndarray:
 
 
 def vectors(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of the hashed n-grams: one row a text."""
+    """Square roots of the shares of the hashed n-grams: one row a text. Bytes are taken PIECE at a time, whatever a text's length."""
     n = len(begins) - 1
-    out = np.zeros((n, FEATURES), np.float32)
-    if not len(raw):
-        return out
-    low = _FOLD[raw].astype(np.uint32)
-    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(begins))
     rows = np.zeros(n * FEATURES, np.int64)
-    two = low[:-1] << 8 | low[1:]
-    three = two[:-1] << 8 | low[2:] if len(low) > 2 else np.zeros(0, np.uint32)
-    for gram, span in ((low | 1 << 24, 0), (two | 2 << 24, 1), (three | 3 << 24, 2)):
-        own = owner[: len(gram)]
-        slot = (gram * np.uint32(2654435761)) >> np.uint32(20)
-        if span:
-            inside = own == owner[span : span + len(gram)]
-            slot, own = slot[inside], own[inside]
-        rows += np.bincount(own * FEATURES + slot, minlength=n * FEATURES)
+    for at in range(0, len(raw), PIECE):
+        low = _FOLD[raw[at : at + PIECE + 2]].astype(np.uint32)
+        owner = np.searchsorted(begins, np.arange(at, at + len(low)), side="right") - 1
+        two = low[:-1] << 8 | low[1:]
+        three = two[:-1] << 8 | low[2:] if len(low) > 2 else np.zeros(0, np.uint32)
+        for gram, span in ((low | 1 << 24, 0), (two | 2 << 24, 1), (three | 3 << 24, 2)):
+            gram = gram[:PIECE]  # those that begin in this piece
+            own = owner[: len(gram)]
+            slot = (gram * np.uint32(2654435761)) >> np.uint32(20)
+            if span:
+                inside = own == owner[span : span + len(gram)]
+                slot, own = slot[inside], own[inside]
+            rows += np.bincount(own * FEATURES + slot, minlength=n * FEATURES)
     counts = rows.reshape(n, FEATURES)
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
@@ -123,13 +125,15 @@ def train(rows: DataFrame) -> Model | None:
     found = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
     if not found:
         return None
-    each = max(1, MOST_ROWS // len(found))
-    odds = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, each / n))])
+    each = max(LEAST_ROWS, MOST_ROWS // len(found))
+    # twice the odds wanted, then the first `each` of a label: no label is left without rows, whatever the hash
+    odds = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, 2 * each / n))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("lang").isin(list(found)) & (draw < odds[F.col("lang")]))
+    drawn = rows.where(F.col("lang").isin(list(found))).select("text", "lang", draw.alias("draw")).where(F.col("draw") < odds[F.col("lang")])
+    sample = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).where(F.col("at") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 1 << 20):
+        for part in text_slices(batches, PIECE, ROWS):
             x = vectors(*utf8(part)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
@@ -153,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
-        for part in text_slices(batches, 1 << 20):
+        for part in text_slices(batches, PIECE, ROWS):
             plain = part.column("__letter").to_numpy(zero_copy_only=False)
             if known is None:
                 pred, score, vague = [UND] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
