@@ -5,7 +5,8 @@ words through a learned tanh layer; gated attention, w . (tanh(V h) * sigmoid(U
 them; a logistic unit scores the weighted sum. Only documents have labels: the passages' weights are learned from them.
 
 The network is fitted by Adam on a sample of at most about ``MOST_ROWS`` labelled documents, as many of each label as there are,
-up to half of it, chosen by a hash of the id. The score is shifted so that the best cut between the labels of the sample falls
+up to half of it, chosen by a hash of the id; of a text with more than ``BAG`` passages that many, evenly spaced, take part in the
+fit (all take part in scoring), and where ids repeat, the first 2 * ``MOST_ROWS`` rows by a hash. The score is shifted so that the best cut between the labels of the sample falls
 on ``CUT``. Prediction reads nothing but the text.
 
 Defined cases: a null or empty text is one passage without bytes; ids with several labels count with each; with no labels, or
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from irloom.llm.common import id_remainder, table, text_slices, utf8
 
-PASSAGE, MOST_ROWS, CUT = 512, 6_000, 0.7
+PASSAGE, MOST_ROWS, BAG, CUT = 512, 6_000, 64, 0.7
 ENCODED, GATES, STEPS, RATE, DECAY = 24, 12, 250, 0.02, 1e-4
 _KINDS = ["lower", "upper", "digit", "blank", "line", "stop", "shout", "bar", "mark", "quote", "other", "high"]
 
@@ -120,6 +121,20 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, many: np.ndarray):
     return h, t, g, attention, z, z @ p["c"] + p["d"][0]
 
 
+def _slopes(p: dict[str, np.ndarray], x: np.ndarray, many: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the sum of each text's logistic loss, weighed by `each`."""
+    h, t, g, attention, z, logit = _forward(p, x, many)
+    d_logit = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * each
+    d_z = np.repeat(d_logit[:, None] * p["c"], many, axis=0)
+    d_att = (d_z * h).sum(axis=1)
+    begin = np.cumsum(many) - many
+    d_raw = attention * (d_att - np.repeat(np.add.reduceat(attention * d_att, begin), many))
+    d_tg = d_raw[:, None] * p["a"]
+    d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
+    d_h = (attention[:, None] * d_z + d_t @ p["v"].T + d_g @ p["u"].T) * (1 - h**2)
+    return {"w": x.T @ d_h, "b": d_h.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_g, "a": (t * g).T @ d_raw, "c": z.T @ d_logit, "d": d_logit.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -129,16 +144,7 @@ def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for step in range(1, STEPS + 1):
-        h, t, g, attention, z, logit = _forward(p, x, many)
-        d_logit = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * each
-        d_z = np.repeat(d_logit[:, None] * p["c"], many, axis=0)
-        d_att = (d_z * h).sum(axis=1)
-        begin = np.cumsum(many) - many
-        d_raw = attention * (d_att - np.repeat(np.add.reduceat(attention * d_att, begin), many))
-        d_tg = d_raw[:, None] * p["a"]
-        d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
-        d_h = (attention[:, None] * d_z + d_t @ p["v"].T + d_g @ p["u"].T) * (1 - h**2)
-        slope = {"w": x.T @ d_h, "b": d_h.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_g, "a": (t * g).T @ d_raw, "c": z.T @ d_logit, "d": d_logit.sum(keepdims=True)}
+        slope = _slopes(p, x, many, y, each)
         for k in p:
             grad = slope[k] + DECAY * p[k] * (k not in "bd")
             m[k], s[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * s[k] + 0.001 * grad**2
@@ -174,10 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 1 << 20):
             x, many = passages(*utf8(part))
-            ends = np.cumsum(many)
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([x[e - m : e].tobytes() for e, m in zip(ends, many)], pa.binary())], ["y", "x"])
+            begin = np.cumsum(many) - many
+            bags = [x[b + (np.arange(m) if m <= BAG else np.linspace(0, m - 1, BAG).astype(int))] for b, m in zip(begin, many)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), pa.array([bag.tobytes() for bag in bags], pa.binary())], ["key", "y", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y").mapInArrow(run, "y int, x binary").toArrow()  # MOST_ROWS pairs
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("key"))  # MOST_ROWS pairs
+    got = rows.mapInArrow(run, "key long, y int, x binary").orderBy("key", "y").limit(2 * MOST_ROWS).toArrow()
     y = np.array(got.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0
