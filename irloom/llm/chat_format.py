@@ -18,7 +18,8 @@ an assistant message is the result for id ``<turn - 1>``; a system message stand
 Rows stay messages or calls: no conversation is gathered in one place.
 
 Defined cases: a null or empty text is an ordinary message with text null or ""; null roles are ``other``; JSON that doesn't parse
-is ordinary text; repeated rows link alike; an empty table gives an empty result; columns called like the added ones are replaced.
+is ordinary text; a message with null conv_id or null turn is written but links nothing (its calls are unanswered, its results
+orphans); repeated rows link alike; an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
