@@ -66,8 +66,8 @@ def can_reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """node: what lies on a cycle or between cycles: what is left once nodes without way in or out are peeled off."""
+def trim(edges: DataFrame) -> DataFrame:
+    """The edges left once nodes without way in or out are peeled off: those on cycles and between them."""
     left = materialise(edges.select("src", "dst").distinct(), "cycle")
     n = left.count()
     while n:
@@ -78,11 +78,37 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         if m == n:
             break
         n = m
-    return left.select(F.col("src").alias("node")).distinct()
+    return left
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """node: what lies on a cycle, by strongly connected components.
+
+    Each node takes the smallest node that reaches it as its colour; what reaches that node inside its colour is its component.
+    Components of all colours are found at once and taken out, and what is left is trimmed and coloured anew."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    found, left = materialise(loops, "components"), trim(edges.where("src <> dst"))
+    while not left.isEmpty():
+        colour = materialise(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")), "colours")
+        front = colour
+        while not front.isEmpty():
+            came = left.join(front, left["src"] == front["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            front = materialise(colour.join(came, "node").where("new < colour").select("node", F.col("new").alias("colour")), "colours")
+            colour = materialise(colour.join(front.withColumnRenamed("colour", "new"), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")), "colours")
+        a, b = colour.select(F.col("node").alias("src"), "colour"), colour.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
+        inside = materialise(left.join(a, "src").join(b, "dst").where("colour = other").select("src", "dst"), "colours")
+        roots = colour.where("node = colour").select("node")
+        component = materialise(reach(reverse(inside), roots).select("node"), "components")
+        # a root with no other node in its component lies on no cycle; the nodes of larger ones have edges between them
+        whole = component.join(colour, "node").groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.union(component.join(colour, "node").join(whole, "colour", "left_semi").select("node"))
+        rest = left.join(component.withColumnRenamed("node", "src"), "src", "left_anti")
+        left = trim(rest.join(component.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found.distinct()
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    return not cyclic_nodes(edges).isEmpty()
+    return not trim(edges).isEmpty()
 
 
 def first_parents(edges: DataFrame, sources: DataFrame, rounds: int = 8) -> DataFrame:
@@ -115,14 +141,14 @@ def sink_paths(parents: DataFrame, sinks: DataFrame, hops: int = 64) -> DataFram
     return done.union(front)
 
 
-def max_product(edges: DataFrame, seeds: DataFrame, floor: float = 0.1, rounds: int = 100) -> DataFrame:
+def max_product(edges: DataFrame, seeds: DataFrame, floor: float = 0.1) -> DataFrame:
     """node, conf: the best product of factors (edges: src, dst, factor <= 1) from seeds (node, conf); under `floor` it dies.
 
-    Products are rounded to 6 places, so equal paths compare equal; only nodes that improved travel on."""
+    Products are rounded to 6 places, so equal paths compare equal; only nodes that improved travel on, until none does."""
     arcs = materialise(edges.groupBy("src", "dst").agg(F.max("factor").alias("factor")), "factors")
     best = materialise(seeds.groupBy("node").agg(F.max("conf").alias("conf")), "taint")
     front = best
-    for _ in range(rounds):
+    while True:
         came = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), F.round(F.col("conf") * F.col("factor"), 6).alias("conf")).where(F.col("conf") >= floor)
         came = came.groupBy("node").agg(F.max("conf").alias("new"))
         front = materialise(came.join(best, "node", "left").where(F.col("conf").isNull() | (F.col("new") > F.col("conf"))).select("node", F.col("new").alias("conf")), "taint")

@@ -119,8 +119,8 @@ def backfill_surfaces(issues: DataFrame) -> DataFrame:
 
 def customise(issues: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules (priority, pattern, match_type, action, severity): the first that fits a function; suppress drops, the others set
-    a severity. Rules are few, so each row is compared with them all in one pass."""
-    found = [r.asDict() for r in rules.orderBy("priority").limit(1000).collect()]
+    a severity. Rules are what a user writes in a configuration: each row is compared with them all in one pass."""
+    found = [r.asDict() for r in rules.orderBy("priority").collect()]
     action = severity = None
     for r in found:
         p = r["pattern"]

@@ -1,4 +1,5 @@
-"""Detection passes: functions of a module's tables that give issue rows, in a registry with their dependencies."""
+"""Passes: functions of a module's tables, in a registry with their dependencies. A detector gives issue rows; a view gives a table
+of facts that detectors, the report and users read (``facts``)."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from irloom.functions.storage import materialise
 from irloom.operators.graph import pass_order
 from irloom.sources.ir_text import Module
 
@@ -19,6 +21,7 @@ class Pass:
     name: str
     deps: tuple[str, ...]
     run: Callable[[Module], DataFrame]
+    is_view: bool = False
 
 
 REGISTRY: dict[str, Pass] = {}
@@ -32,6 +35,22 @@ def detector(name: str, deps: tuple[str, ...] = ()):
     return add
 
 
+def view(name: str, deps: tuple[str, ...] = ()):
+    def add(f: Callable[[Module], DataFrame]):
+        REGISTRY[name] = Pass(name, deps, f, True)
+        return f
+
+    return add
+
+
+def facts(module: Module, name: str) -> DataFrame:
+    """The table of a view. It is made once for a module and kept in shared storage."""
+    order()
+    if name not in module.kept:
+        module.kept[name] = materialise(REGISTRY[name].run(module), f"view-{name}")
+    return module.kept[name]
+
+
 def issue(df: DataFrame, kind: str, severity, confidence, message: str) -> DataFrame:
     """Issue rows of df (module_id, func, ordinal)."""
     wrap = lambda v: v if hasattr(v, "alias") else F.lit(v)
@@ -45,10 +64,10 @@ def order() -> list[str]:
 
 
 def run(module: Module, only: list[str] | None = None) -> DataFrame:
-    """Issues of all passes (or of some), with the name of their pass."""
+    """Issues of all detectors (or of some), with the name of their pass."""
     out = None
     for name in order():
-        if only is None or name in only:
+        if (only is None or name in only) and not REGISTRY[name].is_view:
             found = REGISTRY[name].run(module).withColumn("pass", F.lit(name))
             out = found if out is None else out.unionByName(found)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from irloom import vocab
 from irloom.functions import names
+from irloom.functions.storage import materialise
 from irloom.sources.ir_text import Module
 
 KEY = ["module_id", "func"]
@@ -65,11 +66,15 @@ def dfg_edges(m: Module) -> DataFrame:
 
 
 def block_reach(m: Module) -> DataFrame:
-    """module_id, func, src_bb, dst_bb: blocks that can be reached from one another, by path doubling inside each function."""
-    from irloom.functions.storage import materialise
+    """module_id, func, src_bb, dst_bb: blocks that can be reached from one another, by path doubling inside each function that
+    releases something (it is asked of those only). Made once for a module."""
+    if "block-reach" not in m.kept:
+        m.kept["block-reach"] = _doubled(cfg_edges(m).join(releases(m).select(*KEY).distinct(), KEY, "left_semi"))
+    return m.kept["block-reach"]
 
-    edges = materialise(cfg_edges(m), "cfg")
-    reach = edges
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    reach = materialise(edges, "cfg")
     n = -1
     while True:
         a, b = reach.alias("a"), reach.alias("b")
@@ -91,9 +96,21 @@ def aliases(m: Module) -> DataFrame:
     return step.select(*KEY, F.col("result").alias("value"), F.col("o.value").alias("base"))
 
 
-def rooted(m: Module, df: DataFrame, column: str = "ptr", steps: int = 8) -> DataFrame:
-    """df with `column` replaced by the value it is derived from, up to some casts away."""
-    up = aliases(m).select(*KEY, F.col("value").alias(column), F.col("base").alias("__base"))
-    for _ in range(steps if not up.isEmpty() else 0):
-        df = df.join(up, [*KEY, column], "left").withColumn(column, F.coalesce("__base", column)).drop("__base")
-    return df
+def roots(m: Module) -> DataFrame:
+    """module_id, func, value, root: what a value is derived from, however many copies, casts and elements away. Made once for a
+    module: each round doubles the way, so a chain of n steps takes log n rounds (values that go round in a circle end after 32)."""
+    if "roots" not in m.kept:
+        up = materialise(aliases(m).groupBy(*KEY, "value").agg(F.min("base").alias("root")), "roots")
+        for _ in range(32):
+            more = up.select(*KEY, F.col("value").alias("root"), F.col("root").alias("next"))
+            if up.join(more, [*KEY, "root"], "left_semi").isEmpty():
+                break
+            up = materialise(up.join(more, [*KEY, "root"], "left").select(*KEY, "value", F.coalesce("next", "root").alias("root")), "roots")
+        m.kept["roots"] = up
+    return m.kept["roots"]
+
+
+def rooted(m: Module, df: DataFrame, column: str = "ptr") -> DataFrame:
+    """df with `column` replaced by the value it is derived from."""
+    up = roots(m).select(*KEY, F.col("value").alias(column), F.col("root").alias("__root"))
+    return df.join(up, [*KEY, column], "left").withColumn(column, F.coalesce("__root", column)).drop("__root")

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from irloom import vocab
 from irloom.functions import names, scores
 from irloom.operators import lifecycle
-from irloom.passes import base, detector, issue
+from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
 from irloom.sources.ir_text import Module
 
 
-@detector("call-graph")
+@view("call-graph")
 def call_graph(m: Module) -> DataFrame:
-    """No issues; the edges are matching.call_graph."""
-    return issue(m.instructions.where("false"), "unknown", "low", 0.0, "")
+    """module_id, func, callee, sites, defined: who calls whom how often, and whether the callee is defined in the module."""
+    here = m.functions.where("NOT is_declaration").select("module_id", F.col("func").alias("callee"), F.lit(True).alias("defined")).distinct()
+    sites = base.calls(m).groupBy(*KEY, "callee").agg(F.count(F.lit(1)).alias("sites"))
+    return sites.join(here, ["module_id", "callee"], "left").select(*KEY, "callee", "sites", F.coalesce("defined", F.lit(False)).alias("defined"))
 
 
 @detector("ffi-boundary", ("call-graph",))
@@ -119,10 +121,11 @@ def unwinding(m: Module) -> DataFrame:
     """Panics, throws and long jumps in exported unmangled functions, which callers of another language can't unwind."""
     exported = m.functions.where("NOT is_declaration AND linkage IN ('external', 'weak', 'weak_odr')").where(base.function_language() == "c").select(*KEY)
     kind = F.when(F.col("callee").rlike("(rust_begin_unwind|panic)"), "rust").when(F.col("callee").isin("__cxa_throw", "_Unwind_RaiseException"), "cpp").when(F.col("callee").isin("longjmp", "siglongjmp"), "jump")
-    hit = base.calls(m).withColumn("k", kind).where("k IS NOT NULL").join(exported, KEY, "left_semi").where("k <> 'jump' OR true")
+    hit = base.calls(m).withColumn("k", kind).where("k IS NOT NULL").join(exported, KEY, "left_semi")
     return issue(hit, "ffi_unsafe_call", F.when(F.col("k") == "jump", "high").otherwise("critical"), 0.85, "unwinding crosses a boundary")
 
 
+# References of the virtual machine, what takes and what gives them back.
 _JNI = [("NewGlobalRef", "DeleteGlobalRef"), ("NewLocalRef", "DeleteLocalRef"), ("GetStringUTFChars", "ReleaseStringUTFChars"), ("GetPrimitiveArrayCritical", "ReleasePrimitiveArrayCritical"), ("GetByteArrayElements", "ReleaseByteArrayElements"), ("MonitorEnter", "MonitorExit")]
 
 

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from irloom import vocab
 from irloom.functions import names
-from irloom.operators import graph, matching
-from irloom.passes import base, detector, issue
+from irloom.operators import graph
+from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
 from irloom.passes.boundary import tainted
 from irloom.sources.ir_text import Module
 
-_EMPTY = ("unknown", "low", 0.0, "")
-
 
 def boundary_calls(m: Module) -> DataFrame:
     """Calls whose caller and callee have different languages, intrinsics left out, with both languages and the pointer arguments."""
@@ -55,12 +53,6 @@ def resolutions(m: Module) -> DataFrame:
     return base.calls(m).where("result IS NOT NULL").select(*KEY, F.col("result").alias("value"), F.explode(hits).alias("h")).select(*KEY, "value", "h.*")
 
 
-def alias_pairs(m: Module) -> DataFrame:
-    """Pointers of one function and type that may be the same; casts of one base must be."""
-    made = m.instructions.where("result IS NOT NULL AND opcode IN ('call', 'invoke', 'load', 'alloca', 'getelementptr', 'phi', 'select')").select(F.concat_ws("\x01", *KEY).alias("func"), F.coalesce("type", F.lit("ptr")).alias("type"), F.col("result").alias("ptr"))
-    return matching.same_type_pairs(made, None)
-
-
 def danger_pointers(m: Module) -> DataFrame:
     """module_id, func, value: pointers handed over a boundary and all their casts and copies."""
     start = boundary_calls(m).select(*KEY, F.explode("pointers").alias("o")).select(*KEY, F.col("o.value").alias("value"))
@@ -70,24 +62,30 @@ def danger_pointers(m: Module) -> DataFrame:
     return near.select(*[F.split("node", "\x01")[i].alias(c) for i, c in enumerate([*KEY, "value"])])
 
 
-@detector("dfg", ("cfg",))
+@view("dfg", ("cfg",))
 def dfg(m: Module) -> DataFrame:
-    return issue(m.instructions.where("false"), *_EMPTY)
+    """module_id, func, value, def_ordinal, ordinal: from what defines a value to what uses it."""
+    return base.dfg_edges(m)
 
 
-@detector("alias", ("cfg", "dfg"))
+@view("alias", ("cfg", "dfg"))
 def alias(m: Module) -> DataFrame:
-    return issue(m.instructions.where("false"), *_EMPTY)
+    """module_id, func, value, root, group: what a value must be (derived from root by casts and copies), or null; values of one
+    function, type and group may be the same. Rows are values, so a group of n isn't n * n pairs."""
+    made = m.instructions.where("result IS NOT NULL AND opcode IN ('call', 'invoke', 'load', 'alloca', 'getelementptr', 'phi', 'select', 'bitcast', 'addrspacecast')").select(*KEY, F.col("result").alias("value"), F.when(F.col("opcode").isin("getelementptr", "alloca", "bitcast", "addrspacecast"), "ptr").otherwise(F.coalesce("type", F.lit("ptr"))).alias("group"))
+    return made.join(base.roots(m), [*KEY, "value"], "left").select(*KEY, "value", "root", "group")
 
 
-@detector("surface-classifier")
+@view("surface-classifier")
 def surface_classifier(m: Module) -> DataFrame:
-    return issue(m.instructions.where("false"), *_EMPTY)
+    """module_id, func, surface of every defined function."""
+    return surfaces(m).distinct()
 
 
-@detector("SemanticResolver")
+@view("SemanticResolver")
 def semantic_resolver(m: Module) -> DataFrame:
-    return issue(m.instructions.where("false"), *_EMPTY)
+    """module_id, func, value, resolution, confidence: what calls tell of their results."""
+    return resolutions(m)
 
 
 @detector("danger-surface", ("call-graph", "ptr-lifetime"))

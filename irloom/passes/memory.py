@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from irloom import vocab
-from irloom.passes import base, detector, issue
+from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
 from irloom.sources.ir_text import Module
 
@@ -151,7 +151,7 @@ def error_path_leak(m: Module) -> DataFrame:
     return issue(found, "memory_leak", "high", 0.85, "allocation is held on an error path")
 
 
-@detector("cfg")
+@view("cfg")
 def cfg(m: Module) -> DataFrame:
-    """No issues; the edges are base.cfg_edges."""
-    return issue(m.instructions.where("false"), "unknown", "low", 0.0, "")
+    """module_id, func, src_bb, dst_bb of all control-flow edges."""
+    return base.cfg_edges(m)

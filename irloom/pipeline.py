@@ -15,17 +15,19 @@ from irloom.sources import config, ir_text, sinks
 
 
 def raw_issues(module: ir_text.Module, only: list[str] | None = None) -> DataFrame:
-    """Issue rows with ids, files, surfaces and origins; file and line are those of the function's debug record."""
+    """Issue rows with ids, files, surfaces and origins; file and line are those of the function's debug record, the surface is the
+    function's by its calls (none for issues of structs and declarations)."""
     found = materialise(passes.run(module, only), "issues")
     where = module.functions.where("subprogram IS NOT NULL").select("module_id", "func", "subprogram").join(module.metadata.select("module_id", F.col("id").alias("subprogram"), F.col("line").alias("l")), ["module_id", "subprogram"], "left")
     files = module.modules.select("module_id", F.col("source_filename").alias("file"))
     out = found.join(where.select("module_id", "func", "l"), ["module_id", "func"], "left").join(files, "module_id", "left")
+    out = out.join(passes.facts(module, "surface-classifier").select("module_id", "func", "surface"), ["module_id", "func"], "left")
     zone = F.expr(names.zone("func"))
     origin = F.when(zone == "runtime", "compiler_generated").when(zone == "stdlib", "stdlib").otherwise("user")
     number = F.row_number().over(Window.partitionBy("module_id").orderBy("func", "ordinal", "kind", "pass"))
     return out.select(
         F.xxhash64("module_id", "func", "ordinal", "kind", "pass", number).alias("issue_id"), "module_id", "pass", "kind", "message", "func", "file", F.coalesce("l", F.lit(0)).alias("line"), "ordinal",
-        "severity", "confidence", F.lit(None).cast("string").alias("surface"), F.lit(False).alias("has_boundary"), origin.alias("origin"),
+        "severity", "confidence", "surface", F.coalesce(F.col("surface") == "boundary", F.lit(False)).alias("has_boundary"), origin.alias("origin"),
     )
 
 
@@ -58,7 +60,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> str:
     if settings.output and settings.format in ("json", "sarif"):
         sinks.write(found, settings.output, settings.format)
         return settings.output
-    report = {"text": sinks.text_report, "sarif": sinks.sarif, "html": sinks.graph_html, "json": lambda f: "\n".join(r.value for r in sinks.json_lines(f).limit(10_000).collect())}[settings.format](found)
+    report = {"text": sinks.text_report, "sarif": sinks.sarif, "html": sinks.graph_html, "json": lambda f: "\n".join(r.value for r in sinks.json_lines(f.orderBy("issue_id")).toLocalIterator())}[settings.format](found)
     if settings.output:
         with open(settings.output, "w", encoding="utf-8") as f:
             f.write(report)

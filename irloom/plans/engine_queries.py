@@ -125,7 +125,7 @@ def cycle_in_dag(t):
     return t.spark.createDataFrame([(graph.has_cycle(t.bind("dag")),)], "cyclic boolean")
 
 
-@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), c AS (SELECT src AS n FROM r WHERE src = dst) SELECT DISTINCT a.src AS node FROM e a WHERE (a.src IN (SELECT n FROM c) OR a.src IN (SELECT r.dst FROM r JOIN c ON r.src = c.n)) AND (a.src IN (SELECT n FROM c) OR a.src IN (SELECT r.src FROM r JOIN c ON r.dst = c.n))")
+@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst")
 def cyclic_nodes(t):
     return graph.cyclic_nodes(t.bind("edges"))
 

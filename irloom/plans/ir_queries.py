@@ -33,24 +33,35 @@ def modules(t) -> DataFrame:
     return body.select(F.col("user_id").cast("string").alias("module_id"), F.format_string('source_filename = "u%d.c"\ndefine void @f%d() {\n%s\n  ret void\n}\n', "user_id", "user_id", "body").alias("text"))
 
 
+_PARSED: dict[tuple[str, str], ir_text.Module] = {}
+
+
+def parsed(t) -> ir_text.Module:
+    """The tables of the modules of a folder, parsed once an application."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _PARSED:
+        _PARSED[key] = ir_text.from_texts(modules(t))
+    return _PARSED[key]
+
+
 def _issues(t, name: str) -> DataFrame:
-    return passes.run(ir_text.from_texts(modules(t)), [name]).select("module_id", "func", "ordinal", "kind", "severity", "confidence")
+    return passes.run(parsed(t), [name]).select("module_id", "func", "ordinal", "kind", "severity", "confidence")
 
 
 @query(f"SELECT CASE event_type WHEN 'error' THEN 'icmp' ELSE 'call' END AS opcode, CASE event_type WHEN 'signup' THEN 'malloc' WHEN 'purchase' THEN 'free' WHEN 'view' THEN 'pthread_mutex_lock' WHEN 'click' THEN 'system' END AS callee, count(*) AS n FROM {_EVENTS} x GROUP BY 1, 2 UNION ALL SELECT 'ret', NULL, count(DISTINCT user_id) FROM events")
 def ir_instructions(t):
-    return ir_text.from_texts(modules(t)).instructions.groupBy("opcode", "callee").agg(F.count(F.lit(1)).alias("n"))
+    return parsed(t).instructions.groupBy("opcode", "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(user_id AS STRING) AS module_id, concat('f', CAST(user_id AS STRING)) AS func, concat('u', CAST(user_id AS STRING), '.c') AS source_filename FROM events GROUP BY user_id")
 def ir_functions(t):
-    m = ir_text.from_texts(modules(t))
+    m = parsed(t)
     return m.functions.join(m.modules, "module_id").select("module_id", "func", "source_filename")
 
 
 @query(f"SELECT callee, count(*) AS sites, count(DISTINCT user_id) AS callers FROM (SELECT user_id, CASE event_type WHEN 'signup' THEN 'malloc' WHEN 'purchase' THEN 'free' WHEN 'view' THEN 'pthread_mutex_lock' WHEN 'click' THEN 'system' END AS callee FROM {_EVENTS} x) y WHERE callee IS NOT NULL GROUP BY 1")
 def ir_call_sites(t):
-    return base.calls(ir_text.from_texts(modules(t))).groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("module_id").alias("callers"))
+    return base.calls(parsed(t)).groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("module_id").alias("callers"))
 
 
 _WHO = "CAST(user_id AS STRING) AS module_id, concat('f', CAST(user_id AS STRING)) AS func"
@@ -74,3 +85,27 @@ def pass_memory_leak(t):
 @query(f"WITH x AS MATERIALIZED {_EVENTS} SELECT {_WHO}, ordinal, 'unchecked_return' AS kind, 'high' AS severity, CAST(0.9 AS DOUBLE) AS confidence FROM x WHERE event_type = 'click' OR (event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.user_id = x.user_id AND y.event_type IN ('purchase', 'error') AND y.last_alloc = x.ordinal))")
 def pass_return_check(t):
     return _issues(t, "return-check")
+
+
+_CALLEE = "CASE event_type WHEN 'signup' THEN 'malloc' WHEN 'purchase' THEN 'free' WHEN 'view' THEN 'pthread_mutex_lock' WHEN 'click' THEN 'system' END"
+
+
+@query(f"SELECT {_WHO}, concat('%p', CAST(last_alloc AS STRING)) AS value, last_alloc AS def_ordinal, ordinal FROM {_EVENTS} x WHERE event_type IN ('purchase', 'error') AND last_alloc IS NOT NULL")
+def pass_dfg(t):
+    return passes.facts(parsed(t), "dfg")
+
+
+@query(f"SELECT {_WHO}, callee, count(*) AS sites, false AS defined FROM (SELECT user_id, {_CALLEE} AS callee FROM events) x WHERE callee IS NOT NULL GROUP BY user_id, callee")
+def pass_call_graph(t):
+    return passes.facts(parsed(t), "call-graph")
+
+
+# every module is C and exports its one function, which calls C functions only
+@query(f"SELECT DISTINCT {_WHO}, 'ffi_producer' AS surface FROM events")
+def pass_surfaces(t):
+    return passes.facts(parsed(t), "surface-classifier")
+
+
+@query(f"SELECT {_WHO}, concat('%p', CAST(ordinal AS STRING)) AS value, 'heap' AS resolution, CAST(0.95 AS DOUBLE) AS confidence FROM {_EVENTS} x WHERE event_type = 'signup'")
+def pass_resolutions(t):
+    return passes.facts(parsed(t), "SemanticResolver")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -174,17 +174,18 @@ def parse(module_id: str, text: str) -> Iterator[tuple[str, dict]]:
 
 @dataclass
 class Module:
-    """The tables of a set of modules."""
+    """The tables of a set of modules, and what has been derived from them (kept by name, in shared storage)."""
 
     modules: DataFrame
     functions: DataFrame
     instructions: DataFrame
     structs: DataFrame
     metadata: DataFrame
+    kept: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def from_texts(texts: DataFrame) -> Module:
-    """Tables of texts (module_id, text). Parsed once, in storage; a table is a filter on it."""
+    """Tables of texts (module_id, text). Parsed once, in storage with a folder for each kind of record: a table reads its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,7 +193,7 @@ def from_texts(texts: DataFrame) -> Module:
                 rows = [{"record": r, **{k: (d if k == r else None) for k in _ROW}} for r, d in parse(module_id, text or "")]
                 yield pd.DataFrame(rows, columns=["record", *_ROW])
 
-    parsed = materialise(texts.select("module_id", "text").mapInPandas(run, SCHEMA), "ir")
+    parsed = materialise(texts.select("module_id", "text").mapInPandas(run, SCHEMA), "ir", ["record"])
     get = lambda k: parsed.where(F.col("record") == k).select(f"{k}.*")
     return Module(get("module"), get("function"), get("inst"), get("struct"), get("meta"))
 

@@ -1,4 +1,4 @@
-"""Reports: JSON, SARIF, text, graph. Rows are formatted where they are; only bounded summaries come to the driver."""
+"""Reports: JSON, SARIF, text, graph. Rows are formatted where they are; what is printed comes to the driver a partition at a time."""
 
 from __future__ import annotations
 
@@ -33,9 +33,9 @@ def sarif_results(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
-def sarif(issues: DataFrame, most: int = 10_000) -> str:
-    """A whole SARIF document of the first issues by id; `most` of them, as a report."""
-    found = [json.loads(r.value) for r in sarif_results(issues.orderBy("issue_id").limit(most)).collect()]
+def sarif(issues: DataFrame) -> str:
+    """A whole SARIF document of all issues, by id. It is one string: for issues that don't fit one, ``write`` gives results as lines."""
+    found = [json.loads(r.value) for r in sarif_results(issues.orderBy("issue_id")).toLocalIterator()]
     rules = [{"id": k, "properties": {"cwe": f"CWE-{n}", "category": c}} for k, n, c in vocab.ISSUE_KINDS]
     return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "irloom", "rules": rules}}, "results": found}]})
 
