@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from irloom import passes
 from irloom.functions import names
 from irloom.functions.storage import materialise
-from irloom.operators import issues, matching
+from irloom.operators import issues, matching, triage
 from irloom.sources import config, ir_text, sinks
 
 
@@ -33,7 +33,7 @@ def raw_issues(module: ir_text.Module, only: list[str] | None = None) -> DataFra
 
 def analyse(module: ir_text.Module, settings: config.Config) -> DataFrame:
     """The issues that the settings ask for."""
-    found = issues.backfill_surfaces(raw_issues(module, list(settings.passes) or None))
+    found = triage.suppress(issues.backfill_surfaces(raw_issues(module, list(settings.passes) or None)))
     found = issues.admit(found).withColumn("severity", F.col("final_severity")).drop("final_severity")
     found = issues.dedup(found, ("module_id", "func", "kind", "file", "line", "ordinal"))
     if settings.custom_rules:

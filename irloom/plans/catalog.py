@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irloom.plans import engine_queries, ir_queries, program_queries  # noqa: F401  the others add to the first
+from irloom.plans import engine_queries, ir_queries, program_queries, triage_queries  # noqa: F401  the others add to the first
 
 Query = Callable[[SparkSession, str], DataFrame]
 
