@@ -30,7 +30,7 @@ def family(column: str = "callee"):
 
 def operands(m: Module) -> DataFrame:
     """One row for each operand: the instruction's columns and o."""
-    return m.instructions.select("module_id", "func", "bb", "block", "ordinal", "result", "opcode", "callee", "pred", "type", F.explode("operands").alias("o"))
+    return m.instructions.select("module_id", "func", "bb", "block", "ordinal", "result", "opcode", "callee", "pred", "type", F.size("operands").alias("many"), F.explode("operands").alias("o"))
 
 
 def uses(m: Module) -> DataFrame:

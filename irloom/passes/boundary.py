@@ -41,13 +41,13 @@ def unguarded(m: Module) -> DataFrame:
 def taint_edges(m: Module) -> DataFrame:
     """module_id, func, src, dst, factor: how much taint an instruction hands from a value to another."""
     o = base.operands(m)
-    to = o.where("result IS NOT NULL").select(*KEY, F.col("o.value").alias("src"), F.col("result").alias("dst"), "opcode", "callee", F.col("o.idx").alias("idx"), F.size(F.array()).alias("z"))
+    to = o.where("result IS NOT NULL").select(*KEY, F.col("o.value").alias("src"), F.col("result").alias("dst"), "opcode", "callee", "many")
     san = F.create_map(*[F.lit(x) for n, _, f in vocab.SANITIZERS for x in (n, f)])
     factor = (
         F.when(F.col("opcode").isin("bitcast", "inttoptr", "ptrtoint", "zext", "sext", "trunc", "select", "freeze"), 1.0)
         .when(F.col("opcode").isin("add", "sub", "mul", "udiv", "sdiv", "urem", "srem", "and", "or", "xor", "shl", "lshr", "ashr"), 0.9)
         .when(F.col("opcode").isin("load", "phi"), 0.95)
-        .when(F.col("opcode") == "getelementptr", 0.9)
+        .when(F.col("opcode") == "getelementptr", F.greatest(1 - 0.1 * (F.col("many") - 1), F.lit(0.5)))  # by the number of indexes
         .when(F.col("callee").isNotNull(), F.coalesce(san[F.col("callee")], F.lit(0.95)))
     )
     direct = to.withColumn("factor", factor).where("factor IS NOT NULL").select(*KEY, "src", "dst", "factor")
@@ -58,11 +58,15 @@ def taint_edges(m: Module) -> DataFrame:
 
 
 def tainted(m: Module, floor: float = 0.1) -> DataFrame:
-    """module_id, func, value, conf: what user input reaches inside each function."""
+    """module_id, func, value, conf: what user input reaches inside each function: results and arguments of calls to sources, and
+    the parameters of functions that are named like one."""
     from irloom.operators.graph import max_product
 
     out = base.called(m, vocab.SOURCES)
     seeds = out.where("result IS NOT NULL").select(*KEY, F.col("result").alias("v")).union(out.select(*KEY, F.explode("operands").alias("o")).where("NOT o.is_const AND NOT o.is_global").select(*KEY, "o.value"))
+    made = m.instructions.where("result IS NOT NULL").select(*KEY, F.col("result").alias("value"))
+    named = base.uses(m).where(F.col("func").isin(vocab.SOURCES) & F.col("value").startswith("%")).join(made, [*KEY, "value"], "left_anti")
+    seeds = seeds.union(named.select(*KEY, "value"))
     key = lambda v: F.concat_ws("\x01", *KEY, v)
     edges = taint_edges(m).where(~F.col("src").rlike("^(@|-?[0-9]|null)")).select(key("src").alias("src"), key("dst").alias("dst"), "factor")
     best = max_product(edges, seeds.select(key("v").alias("node"), F.lit(1.0).alias("conf")), floor)
@@ -170,13 +174,33 @@ def callbacks(m: Module) -> DataFrame:
     return issue(held, "use_after_free", "high", 0.8, "callback keeps stack memory").unionByName(issue(put, "callback_ownership_risk", "high", 0.85, "parameter is kept in a global"))
 
 
-@detector("rust-rules", ("ffi-boundary",))
+# Names of foreign functions that keep what they are given.
+KEEPS = "(register|set_|store|keep|retain|callback|listener|spawn|create|queue|push)"
+
+
+@detector("rust-rules", ("ffi-boundary", "SemanticResolver"))
 def rust_rules(m: Module) -> DataFrame:
-    """Rust to C: pointers of as_ptr handed on, boxes given away by into_raw and not taken back."""
+    """Rust to C: pointers of as_ptr handed on; boxes given away by into_raw and not taken back; stack memory that a foreign function
+    keeps; memory handed over and released; fields used after what holds them is dropped."""
     rust = base.calls(m).where(base.function_language() == "rust")
     lent = rust.where(F.col("callee").contains("as_ptr") & F.col("result").isNotNull()).select(*KEY, F.col("result").alias("value"))
     sink = base.operands(m).where("callee IS NOT NULL").where((base.function_language("callee") == "c") & ~F.col("callee").contains("as_ptr")).withColumn("value", F.col("o.value"))
     out = issue(sink.join(lent.distinct(), [*KEY, "value"], "left_semi"), "borrow_escape", "high", 0.8, "borrowed pointer leaves Rust")
     given = rust.where(F.col("callee").contains("into_raw"))
     back = base.calls(m).where(F.col("callee").contains("from_raw")).select("module_id").distinct()
-    return out.unionByName(issue(given.join(back, "module_id", "left_anti"), "cross_language_leak", "high", 0.85, "box is given away and never taken back"))
+    out = out.unionByName(issue(given.join(back, "module_id", "left_anti"), "cross_language_leak", "high", 0.85, "box is given away and never taken back"))
+    stack = m.instructions.where("opcode = 'alloca'").select(*KEY, F.col("result").alias("ptr"))
+    passed = sink.where((base.function_language() == "rust") & ~F.col("callee").isin(base.RELEASES) & ~F.col("callee").startswith("llvm.") & F.col("value").startswith("%"))
+    handed = base.rooted(m, passed.select(*KEY, "callee", "ordinal", F.col("value").alias("ptr")))
+    kept = handed.where(F.col("callee").rlike(KEEPS)).join(stack, [*KEY, "ptr"], "left_semi")
+    out = out.unionByName(issue(kept, "borrow_escape", "high", 0.82, "stack memory is kept by a foreign function"))
+    drops = base.called(m, base.RELEASES).where((base.function_language() == "rust") & ~F.col("callee").isin("__rust_dealloc") & (F.size("operands") > 0))
+    freed = base.rooted(m, drops.select(*KEY, "ordinal", base.argument(0).alias("ptr")))
+    first = handed.groupBy(*KEY, "ptr").agg(F.min("ordinal").alias("given"))
+    out = out.unionByName(issue(freed.join(first, [*KEY, "ptr"]).where("ordinal > given"), "use_after_free", "high", 0.72, "memory handed to a foreign function is released"))
+    dropped = base.calls(m).where((base.function_language() == "rust") & (F.col("callee").contains("drop_in_place") | F.col("callee").isin(base.RELEASES)) & (F.size("operands") > 0))
+    gone = base.rooted(m, dropped.select(*KEY, "ordinal", base.argument(0).alias("ptr"))).groupBy(*KEY, "ptr").agg(F.min("ordinal").alias("gone"))
+    fields = m.instructions.where("opcode = 'getelementptr' AND left(type, 1) = '%' AND size(operands) >= 3").select(*KEY, F.col("result").alias("value"))
+    used = fields.join(base.uses(m).select(*KEY, "value", "ordinal"), [*KEY, "value"]).groupBy(*KEY, "value").agg(F.max("ordinal").alias("ordinal"))
+    late = base.rooted(m, used.withColumn("ptr", F.col("value"))).join(gone, [*KEY, "ptr"]).where("ordinal > gone")
+    return out.unionByName(issue(late, "borrow_escape", "high", 0.78, "field is used after what holds it is dropped"))

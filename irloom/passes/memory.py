@@ -21,12 +21,18 @@ def malloc_check(m: Module) -> DataFrame:
     return issue(made.join(touched, [*KEY, "value"], "left_semi").join(checked, [*KEY, "value"], "left_anti"), "malloc_unchecked", "medium", 0.7, "allocation is used without a null check")
 
 
+# Functions whose results matter most.
+CRITICAL_RETURNS = ["malloc", "system", "exec", "popen", "open", "read", "write"]
+
+
 @detector("return-check")
 def return_check(m: Module) -> DataFrame:
-    """Results of functions that must be checked and are never used."""
-    made = base.called(m, vocab.MUST_CHECK + vocab.COMMANDS).select(*KEY, F.coalesce("result", F.lit("")).alias("value"), "ordinal")
+    """Results of functions that must be checked and are never used; surer where the name is, or holds, that of a critical one."""
+    made = base.called(m, vocab.MUST_CHECK + vocab.COMMANDS).select(*KEY, F.coalesce("result", F.lit("")).alias("value"), "ordinal", "callee")
     unused = made.join(base.uses(m).select(*KEY, "value").distinct(), [*KEY, "value"], "left_anti")
-    return issue(unused, "unchecked_return", "high", 0.9, "return value is never used")
+    part = sum((F.col("callee").contains(n).cast("int") for n in CRITICAL_RETURNS), F.lit(0))
+    unused = unused.withColumn("sure", F.when(F.col("callee").isin(CRITICAL_RETURNS), 0.9).otherwise(F.least(F.round(0.6 + 0.15 * part, 6), F.lit(1.0))))
+    return issue(unused, "unchecked_return", F.when(F.col("sure") >= 0.8, "high").when(F.col("sure") >= 0.6, "medium").otherwise("low"), F.col("sure"), "return value is never used")
 
 
 @detector("integer-overflow")

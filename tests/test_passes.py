@@ -187,3 +187,35 @@ def test_surfaces_reach_the_report(spark):
     m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
     found = {(r.func, r.surface, r.has_boundary) for r in pipeline.raw_issues(m, ["memory-safety"]).collect()}
     assert found == {("_RNvC1x1f", "boundary", True), ("h", "ffi_producer", False)}
+
+
+RUST = {
+    "stack kept": ("borrow_escape", 0.82, "%s = alloca i32\ncall void @register_buffer(ptr %s)"),
+    "stack lent": (None, None, "%s = alloca i32\ncall void @fill(ptr %s)"),
+    "handed and freed": ("use_after_free", 0.72, "call void @take(ptr %b)\ncall void @free(ptr %b)"),
+    "freed by Rust": (None, None, "call void @take(ptr %b)\ncall void @__rust_dealloc(ptr %b, i64 8, i64 8)"),
+    "field after drop": ("borrow_escape", 0.78, "%f = getelementptr %Pair, ptr %b, i32 0, i32 1\ncall void @_RNv_drop_in_place(ptr %b)\n%x = load i32, ptr %f"),
+    "field before drop": (None, None, "%f = getelementptr %Pair, ptr %b, i32 0, i32 1\n%x = load i32, ptr %f\ncall void @_RNv_drop_in_place(ptr %b)"),
+}
+
+
+def test_rust_rules(spark):
+    rows = [(k, f"define void @_RNvC1x1f(ptr %b) {{\n{body}\nret void\n}}") for k, (_, _, body) in RUST.items()]
+    found = {}
+    for r in passes.run(ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string")), ["rust-rules"]).collect():
+        found.setdefault(r.module_id, set()).add((r.kind, r.confidence))
+    assert found == {k: {(kind, conf)} for k, (kind, conf, _) in RUST.items() if kind}
+
+
+def test_return_checks_are_graded(spark):
+    text = "define void @f(ptr %d) {\n%a = call ptr @malloc(i64 1)\n%b = call ptr @fopen(ptr %d, ptr %d)\n%c = call ptr @calloc(i64 1, i64 1)\nret void\n}"
+    m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
+    assert {(r.ordinal, r.severity, r.confidence) for r in passes.run(m, ["return-check"]).collect()} == {(0, "high", 0.9), (1, "medium", 0.75), (2, "medium", 0.6)}
+
+
+def test_taint_of_sources_and_indexes(spark):
+    from irloom.passes.boundary import tainted
+
+    text = "define void @main(ptr %argv) {\n%a = getelementptr ptr, ptr %argv, i64 1\n%b = getelementptr [4 x [4 x i8]], ptr %a, i64 0, i64 1, i64 2\nret void\n}\ndefine void @other(ptr %p) {\n%q = load ptr, ptr %p\nret void\n}"
+    m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
+    assert {(r.func, r.value): r.conf for r in tainted(m).collect()} == {("main", "%argv"): 1.0, ("main", "%a"): 0.9, ("main", "%b"): 0.63}
