@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from irloom.functions import names, scores
+from irloom.functions.storage import materialise
 
 
 def match_functions(declares: DataFrame, defines: DataFrame) -> DataFrame:
@@ -21,15 +22,16 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
 def score_matches(matches: DataFrame, confidence: float = 1.0) -> DataFrame:
     """Matches (name) that pass the boundary gates, with vuln, signals, score and severity.
 
-    Each step binds what the one before gives to a lambda's variable: as columns, the filter would be pushed below the
+    A name is judged once, however many matches it has. Each step binds what the one before gives to a lambda's variable: as columns, the filter would be pushed below the
     projections and repeat their expressions many times over."""
     named = f"array(named_struct('vuln', {names.vulnerability('name')}, 'signals', {names.signals('name')}))"
     score = scores.boundary("q.signals", "q.vuln", f"CAST({confidence} AS DOUBLE)")
     scored = f"transform({named}, q -> named_struct('vuln', q.vuln, 'signals', q.signals, 'score', {score}))"
     passes = scores.boundary_passes("q.signals", "q.vuln", "q.score")
     judged = f"transform({scored}, q -> named_struct('vuln', q.vuln, 'signals', q.signals, 'score', q.score, 'severity', {scores.boundary_severity('q.score')}, 'passes', {passes}))[0]"
-    out = matches.withColumn("__r", F.expr(judged)).where("__r.passes")
-    return out.select(*matches.columns, *[F.col(f"__r.{c}").alias(c) for c in ("vuln", "signals", "score", "severity")])
+    # written before they are filtered and joined: else the optimiser repeats the expression in filters and in each column
+    judged_names = materialise(matches.select("name").distinct().withColumn("__r", F.expr(judged)), "scores").where("__r.passes")
+    return matches.join(judged_names, "name").select(*matches.columns, *[F.col(f"__r.{c}").alias(c) for c in ("vuln", "signals", "score", "severity")])
 
 
 def call_sites(instructions: DataFrame) -> DataFrame:
