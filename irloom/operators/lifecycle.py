@@ -1,7 +1,8 @@
 """Ordered operators: state machines over events, balances, lock order, double frees.
 
 A state machine's step is a function of a small set of states, and such functions compose: events are folded in chunks of bounded
-size from every state, then the chunks' functions are folded from the start state. No resource's events meet in one row."""
+size from every state, then the chunks' functions are folded from the start state. No resource's events meet in one row; they are
+numbered by a window, which sorts a resource's events in one task and holds none of them."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from irloom import vocab
 
 CHUNK = 4096
+MEET_STATES = ["unknown", "live", "moved", "borrowed", "freed", "escaped", "invalid"]
 CONTRACT_STATES = ["owned", "borrowed", "maybe_owned", "transferred", "retained", "released", "invalid", "unknown"]
 USES_AFTER_RELEASE = ["borrow", "return_to_caller", "out_param_store", "field_store", "callback_escape", "thread_escape", "consume"]
 
@@ -40,12 +42,17 @@ def _contract_step(s: str, e: str) -> str:
     )
 
 
+def _lists(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    """key, chunk, es: rows (key, seq, e) in lists of `chunk`, in order of e, whose first field is seq."""
+    at = F.floor((F.row_number().over(Window.partitionBy(key).orderBy("seq")) - 1) / chunk)
+    return rows.withColumn("chunk", at).groupBy(key, "chunk").agg(F.sort_array(F.collect_list("e")).alias("es"))
+
+
 def contract_fold(events: DataFrame, start: str = "unknown", chunk: int = CHUNK) -> DataFrame:
     """resource_id, state, invalid, after_release, doubled, mismatched after all events (resource_id, seq, trigger, alloc_family,
     release_family, has_valid_escape), in order of seq. Family match comes first, then use after release, then the table."""
     e = events.select("resource_id", "seq", F.struct("seq", "trigger", F.col("alloc_family").alias("af"), F.col("release_family").alias("rf"), F.coalesce("has_valid_escape", F.lit(False)).alias("escape")).alias("e"))
-    at = F.floor((F.row_number().over(Window.partitionBy("resource_id").orderBy("seq")) - 1) / chunk)
-    lists = e.withColumn("chunk", at).groupBy("resource_id", "chunk").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    lists = _lists(e, "resource_id", chunk)
     zero = lambda state: f"named_struct('state', {state}, 'invalid', 0, 'after_release', 0, 'doubled', 0, 'mismatched', 0)"
     fold = f"transform(array({vocab.sql_list(CONTRACT_STATES)}), q -> aggregate(es, {zero('q')}, (s, e) -> {_contract_step('s', 'e')}))"
     parts = lists.select("resource_id", F.struct("chunk", F.expr(fold).alias("f")).alias("p"))
@@ -65,13 +72,18 @@ def contract_checks(events: DataFrame) -> DataFrame:
     return events.withColumn("from_state", prev).withColumn("to_state", table[F.concat("from_state", F.lit(":"), "trigger")]).withColumn("legal", F.col("to_state").isNotNull())
 
 
-def lifetime_fold(actions: DataFrame) -> DataFrame:
+def lifetime_fold(actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """resource_id, state, failures after all actions (resource_id, seq, action) in order; a failing action leaves the state."""
     arms = " ".join(f"WHEN e.action = '{a}'" + (f" AND s.state = '{need}'" if need else "") + f" THEN '{new}'" for a, need, new, _ in vocab.LIFETIME)
     nxt = f"CASE {arms} END"
-    lists = actions.groupBy("resource_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("es"))
-    fold = f"aggregate(es, named_struct('state', 'unknown', 'failures', 0), (s, e) -> named_struct('state', coalesce({nxt}, s.state), 'failures', s.failures + CASE WHEN {nxt} IS NULL THEN 1 ELSE 0 END))"
-    return lists.select("resource_id", F.expr(fold).alias("s")).select("resource_id", "s.*")
+    states = sorted({"unknown"} | {x for _, need, new, _ in vocab.LIFETIME for x in (need, new) if x})
+    lists = _lists(actions.select("resource_id", "seq", F.struct("seq", "action").alias("e")), "resource_id", chunk)
+    one = f"aggregate(es, named_struct('state', q, 'failures', 0), (s, e) -> named_struct('state', coalesce({nxt}, s.state), 'failures', s.failures + CASE WHEN {nxt} IS NULL THEN 1 ELSE 0 END))"
+    parts = lists.select("resource_id", F.struct("chunk", F.expr(f"transform(array({vocab.sql_list(states)}), q -> {one})").alias("f")).alias("p"))
+    whole = parts.groupBy("resource_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # a row for CHUNK actions
+    at = f"element_at(p.f, CAST(array_position(array({vocab.sql_list(states)}), s.state) AS INT))"
+    end = f"aggregate(ps, named_struct('state', 'unknown', 'failures', 0), (s, p) -> named_struct('state', {at}.state, 'failures', s.failures + {at}.failures))"
+    return whole.select("resource_id", F.expr(end).alias("s")).select("resource_id", "s.*")
 
 
 def meet_sql(a: str, b: str) -> str:
@@ -83,10 +95,16 @@ def meet_sql(a: str, b: str) -> str:
     )
 
 
-def meet_fold(states: DataFrame) -> DataFrame:
-    """merge_id, state: the meet of the states (merge_id, seq, state) that come together, in order of seq."""
-    lists = states.groupBy("merge_id").agg(F.sort_array(F.collect_list(F.struct("seq", "state"))).alias("es"))
-    return lists.select("merge_id", F.expr(f"aggregate(es, 'unknown', (s, e) -> {meet_sql('s', 'e.state')})").alias("state"))
+def meet_fold(states: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """merge_id, state: the meet of the states (merge_id, seq, state) that come together, in order of seq.
+
+    The fold goes over chunks: what a chunk makes of each state it may start from, then from chunk to chunk."""
+    every = f"array({vocab.sql_list(MEET_STATES)})"
+    lists = _lists(states.select("merge_id", "seq", F.struct("seq", "state").alias("e")), "merge_id", chunk)
+    fold = f"transform({every}, q -> aggregate(es, q, (s, e) -> {meet_sql('s', 'e.state')}))"
+    parts = lists.select("merge_id", F.struct("chunk", F.expr(fold).alias("f")).alias("p"))
+    whole = parts.groupBy("merge_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return whole.select("merge_id", F.expr(f"aggregate(ps, 'unknown', (s, p) -> element_at(p.f, CAST(array_position({every}, s) AS INT)))").alias("state"))
 
 
 def double_frees(frees: DataFrame) -> DataFrame:

@@ -190,3 +190,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.resource_id, r.state, r.invalid) for r in spark.sql("SELECT * FROM contracts").collect()} == {(1, "borrowed", 1), (2, "unknown", 1)}
+
+
+def test_folds_do_not_depend_on_chunks(spark):
+    import random
+
+    from irloom.operators import lifecycle
+
+    rng = random.Random(3)
+    actions = spark.createDataFrame([(i % 9, i, rng.choice(["alloc", "free", "borrow", "transfer", "reclaim", "escape"])) for i in range(200)], "resource_id long, seq long, action string")
+    states = spark.createDataFrame([(i % 9, i, rng.choice(lifecycle.MEET_STATES)) for i in range(60)], "merge_id long, seq long, state string")
+    for fold, rows in ((lifecycle.lifetime_fold, actions), (lifecycle.meet_fold, states)):
+        whole = sorted(map(tuple, fold(rows).collect()))
+        assert all(sorted(map(tuple, fold(rows, chunk).collect())) == whole for chunk in (1, 3))
