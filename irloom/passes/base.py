@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from irloom import vocab
 from irloom.functions import names
 from irloom.functions.storage import materialise
+from irloom.operators import graph
 from irloom.sources.ir_text import Module
 
 KEY = ["module_id", "func"]
@@ -67,9 +68,10 @@ def dfg_edges(m: Module) -> DataFrame:
 
 def block_reach(m: Module) -> DataFrame:
     """module_id, func, src_bb, dst_bb: blocks that can be reached from one another, by path doubling inside each function that
-    releases something (it is asked of those only). Made once for a module."""
+    releases something, itself or by a call (it is asked of those only). Made once for a module."""
     if "block-reach" not in m.kept:
-        m.kept["block-reach"] = _doubled(cfg_edges(m).join(releases(m).select(*KEY).distinct(), KEY, "left_semi"))
+        asked = releases(m).select(*KEY).union(handed_releases(m).select(*KEY)).distinct()
+        m.kept["block-reach"] = _doubled(cfg_edges(m).join(asked, KEY, "left_semi"))
     return m.kept["block-reach"]
 
 
@@ -114,3 +116,25 @@ def rooted(m: Module, df: DataFrame, column: str = "ptr") -> DataFrame:
     """df with `column` replaced by the value it is derived from."""
     up = roots(m).select(*KEY, F.col("value").alias(column), F.col("root").alias("__root"))
     return df.join(up, [*KEY, column], "left").withColumn(column, F.coalesce("__root", column)).drop("__root")
+
+
+def parameters(m: Module) -> DataFrame:
+    """module_id, func, ptr, idx, readonly: the named parameters of defined functions."""
+    named = m.functions.where("NOT is_declaration").select(*KEY, "readonly", F.posexplode("params").alias("idx", "ptr"))
+    return named.select(*KEY, "ptr", "idx", F.col("readonly")[F.col("idx")].alias("readonly"))
+
+
+def handed_releases(m: Module) -> DataFrame:
+    """module_id, func, ptr, callee, bb, ordinal: pointers handed to a function of the module that releases that parameter, itself or
+    by handing it on. A function that releases only what it was not given isn't meant. Made once for a module."""
+    if "handed" not in m.kept:
+        own = parameters(m).select(*KEY, "ptr", "idx")
+        node = lambda func, idx: F.concat_ws("\x01", "module_id", func, F.col(idx).cast("string"))
+        here = m.functions.where("NOT is_declaration").select("module_id", F.col("func").alias("callee")).distinct()
+        args = operands(m).where("callee IS NOT NULL AND o.type = 'ptr'").where(~F.col("callee").isin(RELEASES)).join(here, ["module_id", "callee"], "left_semi")
+        args = materialise(rooted(m, args.select(*KEY, "callee", "bb", "ordinal", F.col("o.value").alias("ptr"), F.col("o.idx").alias("arg"))), "handed")
+        seeds = rooted(m, releases(m)).join(own, [*KEY, "ptr"]).select(node("func", "idx").alias("node")).distinct()
+        onward = args.join(own, [*KEY, "ptr"]).select(node("callee", "arg").alias("src"), node("func", "idx").alias("dst"))
+        gone = graph.closure(onward, seeds).select("node").distinct()
+        m.kept["handed"] = materialise(args.withColumn("node", node("callee", "arg")).join(gone, "node", "left_semi").select(*KEY, "ptr", "callee", "bb", "ordinal"), "handed")
+    return m.kept["handed"]

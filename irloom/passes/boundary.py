@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from irloom import vocab
 from irloom.functions import names, scores
+from irloom.functions.storage import materialise
 from irloom.operators import lifecycle
 from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
@@ -89,11 +90,13 @@ def injections(m: Module) -> DataFrame:
 def abi(m: Module) -> DataFrame:
     """Declarations against another module's definition: parameter count, then kinds of parameters and result."""
     d = m.functions.where("is_declaration AND NOT func LIKE 'llvm.%'").select("module_id", "func", "n_params", "param_types", "ret_type", "variadic")
-    f = m.functions.where("NOT is_declaration").select(F.col("module_id").alias("there"), "func", F.col("n_params").alias("n"), F.col("param_types").alias("types"), F.col("ret_type").alias("ret"))
-    met = d.join(f, "func").where("there <> module_id").withColumn("ordinal", F.lit(0))
+    kinds_of = [F.col("n_params").alias("n"), F.col("param_types").alias("types"), F.col("ret_type").alias("ret")]
+    # a signature is met once, however many modules define it; it counts if another module than the declaration's does
+    f = m.functions.where("NOT is_declaration").groupBy("func", *kinds_of).agg(F.min("module_id").alias("one"), F.max("module_id").alias("other"))
+    met = d.join(f, "func").where("one <> module_id OR other <> module_id").withColumn("ordinal", F.lit(0))
     count = met.where("NOT variadic AND n_params <> n")
     kinds = met.where("n_params = n AND (exists(zip_with(param_types, types, (a, b) -> a <> b), x -> x) OR ret_type <> ret)")
-    return issue(count, "type_mismatch", "high", 0.9, "parameter counts differ").unionByName(issue(kinds, "ffi_type_mismatch", "medium", 0.8, "parameter or result types differ"))
+    return issue(count, "type_mismatch", "high", 0.9, "parameter counts differ").unionByName(issue(kinds, "ffi_type_mismatch", "medium", 0.8, "parameter or result types differ")).distinct()
 
 
 @detector("call-types")
@@ -105,10 +108,12 @@ def call_types(m: Module) -> DataFrame:
 
 @detector("layout-mismatch")
 def layouts(m: Module) -> DataFrame:
-    """Structs of one name with other fields or packing in another module."""
-    a = m.structs.withColumn("name", F.regexp_replace("name", r"^(struct|class|union)\.", ""))
-    b = a.select("name", F.col("module_id").alias("there"), F.col("fields").alias("others"), F.col("packed").alias("p"))
-    hit = a.join(b, "name").where("module_id < there AND (packed <> p OR fields <> others)")
+    """Structs of one name with other fields or packing in a module further on; a layout counts once, by the last module that has it."""
+    a = m.structs.select("module_id", F.regexp_replace("name", r"^(struct|class|union)\.", "").alias("name"), F.struct("packed", "fields").alias("layout"))
+    last = materialise(a.groupBy("name", "layout").agg(F.max("module_id").alias("last")), "layouts")
+    top = last.groupBy("name").agg(F.max_by("layout", F.struct("last", "layout")).alias("top"), F.max("last").alias("end"))
+    rest = last.join(top, "name").where("layout <> top").groupBy("name").agg(F.max("last").alias("before"))  # names with two layouts or more
+    hit = a.join(top, "name").join(rest, "name").where("module_id < CASE WHEN layout = top THEN before ELSE end END")
     return issue(hit.select("module_id", F.col("name").alias("func"), F.lit(0).alias("ordinal")).distinct(), "ffi_type_mismatch", "high", 0.75, "struct layouts differ")
 
 
@@ -155,6 +160,21 @@ def interpreter_lock(m: Module) -> DataFrame:
     return issue(bad, "data_race", "high", 0.85, "interpreter lock is unbalanced")
 
 
+# What makes objects of a runtime, and what takes references out of others (anywhere in a name).
+_MAKES = {"jni": ["NewObject", "NewString", "NewArray", "AllocObject"], "python": ["PyObject_New", "PyLong_FromLong", "PyFloat_FromDouble", "PyUnicode_FromString", "PyList_New", "PyDict_New", "PyTuple_New"]}
+_REFERS = {"jni": ["GetObjectField", "GetObjectArrayElement", "CallObjectMethod", "CallStaticObjectMethod", "GetStaticObjectField"], "python": ["PyObject_GetAttr", "PyObject_GetItem", "PyDict_GetItem", "PyList_GetItem", "PyTuple_GetItem", "PySequence_GetItem"]}
+
+
+@detector("reference-cycle", ("gc-safety",))
+def reference_cycles(m: Module) -> DataFrame:
+    """Functions that make objects of one collected runtime and take references from the other's: a cycle neither can collect."""
+    where = lambda table: F.coalesce(*[F.when(F.col("callee").rlike("|".join(v)), k) for k, v in table.items()])
+    c = base.calls(m).select(*KEY, "ordinal", "callee", where(_MAKES).alias("made"), where(_REFERS).alias("referred"))
+    made = c.where("made IS NOT NULL").groupBy(*KEY, "made", F.col("callee").alias("maker")).agg(F.min("ordinal").alias("ordinal"))
+    refs = c.where("referred IS NOT NULL").select(*KEY, "referred", F.col("callee").alias("by")).distinct()
+    return issue(made.join(refs, KEY).where("made <> referred"), "memory_leak", "medium", 0.75, "objects of two collected runtimes may hold one another")
+
+
 @detector("refcount")
 def refcounts(m: Module) -> DataFrame:
     """Objects whose references are taken more often than given back in a function."""
@@ -181,7 +201,8 @@ KEEPS = "(register|set_|store|keep|retain|callback|listener|spawn|create|queue|p
 @detector("rust-rules", ("ffi-boundary", "SemanticResolver"))
 def rust_rules(m: Module) -> DataFrame:
     """Rust to C: pointers of as_ptr handed on; boxes given away by into_raw and not taken back; stack memory that a foreign function
-    keeps; memory handed over and released; fields used after what holds them is dropped."""
+    keeps; memory handed over and released; fields used after what holds them is dropped; writes behind fields of readonly parameters;
+    parameters called from a local."""
     rust = base.calls(m).where(base.function_language() == "rust")
     lent = rust.where(F.col("callee").contains("as_ptr") & F.col("result").isNotNull()).select(*KEY, F.col("result").alias("value"))
     sink = base.operands(m).where("callee IS NOT NULL").where((base.function_language("callee") == "c") & ~F.col("callee").contains("as_ptr")).withColumn("value", F.col("o.value"))
@@ -203,4 +224,25 @@ def rust_rules(m: Module) -> DataFrame:
     fields = m.instructions.where("opcode = 'getelementptr' AND left(type, 1) = '%' AND size(operands) >= 3").select(*KEY, F.col("result").alias("value"))
     used = fields.join(base.uses(m).select(*KEY, "value", "ordinal"), [*KEY, "value"]).groupBy(*KEY, "value").agg(F.max("ordinal").alias("ordinal"))
     late = base.rooted(m, used.withColumn("ptr", F.col("value"))).join(gone, [*KEY, "ptr"]).where("ordinal > gone")
-    return out.unionByName(issue(late, "borrow_escape", "high", 0.78, "field is used after what holds it is dropped"))
+    out = out.unionByName(issue(late, "borrow_escape", "high", 0.78, "field is used after what holds it is dropped"))
+    return out.unionByName(field_writes(m)).unionByName(local_callbacks(m))
+
+
+def field_writes(m: Module) -> DataFrame:
+    """Stores through a pointer that was loaded from a field of a readonly parameter."""
+    given = base.parameters(m).where("readonly").where(base.function_language() == "rust").select(*KEY, "ptr")
+    fields = m.instructions.where("opcode = 'getelementptr' AND left(type, 1) = '%' AND size(operands) >= 3").select(*KEY, F.col("result").alias("field"), F.col("result").alias("ptr"))
+    fields = base.rooted(m, fields).join(given, [*KEY, "ptr"], "left_semi").select(*KEY, "field")
+    loaded = m.instructions.where("opcode = 'load'").select(*KEY, base.argument(0).alias("field"), F.col("result").alias("ptr")).join(fields, [*KEY, "field"], "left_semi").select(*KEY, "ptr").distinct()
+    put = base.rooted(m, m.instructions.where("opcode = 'store'").select(*KEY, "ordinal", base.argument(1).alias("ptr")))
+    return issue(put.join(loaded, [*KEY, "ptr"], "left_semi"), "write_to_immutable", "high", 0.85, "memory behind a field of a readonly parameter is written")
+
+
+def local_callbacks(m: Module) -> DataFrame:
+    """Parameters that are kept in a stack slot and called from there."""
+    slots = m.instructions.where("opcode = 'alloca'").select(*KEY, F.col("result").alias("slot"))
+    given = base.parameters(m).where(base.function_language() == "rust").select(*KEY, "ptr")
+    put = m.instructions.where("opcode = 'store'").select(*KEY, "ordinal", base.argument(0).alias("ptr"), base.argument(1).alias("slot")).join(given, [*KEY, "ptr"], "left_semi").join(slots, [*KEY, "slot"], "left_semi")
+    got = m.instructions.where("opcode = 'load'").select(*KEY, base.argument(0).alias("slot"), F.col("result").alias("callee"))
+    asked = got.join(base.calls(m).select(*KEY, "callee"), [*KEY, "callee"], "left_semi").select(*KEY, "slot")
+    return issue(put.join(asked, [*KEY, "slot"], "left_semi"), "callback_ownership_risk", "high", 0.78, "parameter is kept in a local and called")

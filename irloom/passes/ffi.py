@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from irloom import vocab
 from irloom.functions import names
+from irloom.functions.storage import materialise
 from irloom.operators import graph
 from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
@@ -134,10 +135,21 @@ def body_check(m: Module) -> DataFrame:
 
 @detector("cross-lang-dataflow", ("ffi-boundary", "pointer-flow"))
 def cross_language_frees(m: Module) -> DataFrame:
-    """Pointers released by functions of two languages or more in one function."""
+    """Pointers released by functions of two languages or more in one function, and pointers released twice across functions."""
     f = base.rooted(m, base.releases(m)).withColumn("lang", base.function_language("callee"))
     many = f.groupBy(*KEY, "ptr").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("lang")).alias("langs"), F.max("ordinal").alias("ordinal")).where("n >= 2 AND langs >= 2")
-    return issue(many, "double_free", "high", 0.95, "pointer is released by two languages")
+    out = issue(many, "double_free", "high", 0.95, "pointer is released by two languages")
+    return out.unionByName(issue(handed_twice(m), "double_free", "high", 0.9, "pointer is released again by a function it is handed to, or after it"))
+
+
+def handed_twice(m: Module) -> DataFrame:
+    """module_id, func, ordinal: releases of a pointer after another one on the same path, one of the two inside a called function."""
+    direct = base.rooted(m, base.releases(m)).select(*KEY, "ptr", "bb", "ordinal", F.lit(False).alias("handed"))
+    every = materialise(direct.unionByName(base.handed_releases(m).select(*KEY, "ptr", "bb", "ordinal", F.lit(True).alias("handed"))), "handed-twice")
+    first = every.groupBy(*KEY, "ptr", F.col("bb").alias("src_bb"), F.col("handed").alias("before")).agg(F.min("ordinal").alias("first"))  # the first of a block stands for all
+    pairs = every.withColumnRenamed("bb", "dst_bb").join(first, [*KEY, "ptr"]).where("first < ordinal AND (handed OR before)")
+    met = pairs.join(base.block_reach(m).withColumn("linked", F.lit(True)), [*KEY, "src_bb", "dst_bb"], "left").where("src_bb = dst_bb OR linked")
+    return met.select(*KEY, "ordinal").distinct()
 
 
 @detector("callback-lifecycle", ("ffi-boundary", "call-graph"))
@@ -153,10 +165,17 @@ def callback_lifecycle(m: Module) -> DataFrame:
 
 @detector("error-propagation", ("ffi-boundary", "call-graph"))
 def error_propagation(m: Module) -> DataFrame:
-    """Results of foreign functions that report errors (integers or pointers) and are never used."""
+    """Results of foreign functions that report errors (integers or pointers) and are never used; exceptions that leave a function
+    without handler for callers of another language."""
     used = base.uses(m).select(*KEY, "value").distinct()
     asked = boundary_calls(m).where(F.col("type").rlike(r"^(i\d+|ptr)") & F.col("callee").rlike("(_init|_open|_read|_write|_send|_recv|_connect|_exec|_load|_parse|errno|status)")).withColumn("value", F.coalesce("result", F.lit("")))
-    return issue(asked.join(used, [*KEY, "value"], "left_anti"), "unchecked_return", "medium", 0.75, "error of a foreign function is ignored")
+    out = issue(asked.join(used, [*KEY, "value"], "left_anti"), "unchecked_return", "medium", 0.75, "error of a foreign function is ignored")
+    # throws of a function without personality (no handler of its own) that another language calls
+    throws = base.calls(m).where(F.col("callee").rlike(r"(^__cxa_(re)?throw$|^_Unwind_RaiseException$|rust_begin_unwind|panic)"))
+    bare = m.functions.where("NOT is_declaration AND personality IS NULL").select(*KEY)
+    asked_for = boundary_calls(m).select("module_id", F.col("callee").alias("func")).distinct()
+    crossing = throws.join(bare, KEY, "left_semi").join(asked_for, KEY, "left_semi")
+    return out.unionByName(issue(crossing, "ffi_unsafe_call", "high", 0.8, "exception leaves for a caller of another language"))
 
 
 @detector("abi-mismatch", ("abi-compat",))

@@ -11,13 +11,17 @@ from irloom import passes
 from irloom.functions import names
 from irloom.functions.storage import materialise
 from irloom.operators import issues, matching, triage
+from irloom.passes import contracts
 from irloom.sources import config, ir_text, sinks
 
 
-def raw_issues(module: ir_text.Module, only: list[str] | None = None) -> DataFrame:
+def raw_issues(module: ir_text.Module, only: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Issue rows with ids, files, surfaces and origins; file and line are those of the function's debug record, the surface is the
-    function's by its calls (none for issues of structs and declarations)."""
-    found = materialise(passes.run(module, only), "issues")
+    function's by its calls (none for issues of structs and declarations). Rules are library contracts, if there are any."""
+    found = passes.run(module, only)
+    if rules is not None:
+        found = contracts.unowned(found, module, rules).unionByName(contracts.run(module, rules))
+    found = materialise(found, "issues")
     where = module.functions.where("subprogram IS NOT NULL").select("module_id", "func", "subprogram").join(module.metadata.select("module_id", F.col("id").alias("subprogram"), F.col("line").alias("l")), ["module_id", "subprogram"], "left")
     files = module.modules.select("module_id", F.col("source_filename").alias("file"))
     out = found.join(where.select("module_id", "func", "l"), ["module_id", "func"], "left").join(files, "module_id", "left")
@@ -33,7 +37,11 @@ def raw_issues(module: ir_text.Module, only: list[str] | None = None) -> DataFra
 
 def analyse(module: ir_text.Module, settings: config.Config) -> DataFrame:
     """The issues that the settings ask for."""
-    found = triage.suppress(issues.backfill_surfaces(raw_issues(module, list(settings.passes) or None)))
+    rules = None
+    if settings.contracts:
+        with open(settings.contracts, encoding="utf-8") as f:
+            rules = config.contracts(module.modules.sparkSession, f.read())
+    found = triage.suppress(issues.backfill_surfaces(raw_issues(module, list(settings.passes) or None, rules)))
     found = issues.admit(found).withColumn("severity", F.col("final_severity")).drop("final_severity")
     found = issues.dedup(found, ("module_id", "func", "kind", "file", "line", "ordinal"))
     if settings.custom_rules:

@@ -5,7 +5,7 @@ FACTS = "kind string, subject bigint, object bigint, context bigint"
 MODULES = "module_id string, source_filename string, triple string, datalayout string, producer string"
 FUNCTIONS = (
     "module_id string, func string, is_declaration boolean, linkage string, ret_type string, param_types array<string>, n_params int, "
-    "variadic boolean, personality string, subprogram string, line int"
+    "variadic boolean, personality string, subprogram string, line int, params array<string>, readonly array<boolean>"
 )
 INSTRUCTIONS = (
     f"module_id string, func string, bb int, ordinal int, result string, opcode string, type string, callee string, operands array<{OPERAND}>, "

@@ -26,6 +26,7 @@ class Config:
     passes: tuple[str, ...] = ()
     log_level: str = "info"
     custom_rules: tuple[dict, ...] = field(default=())
+    contracts: str | None = None  # a file of library contracts
 
 
 def load(path: str) -> Config:
@@ -72,6 +73,7 @@ def parse_args(argv: list[str]) -> dict:
     p.add_argument("--source-lang", dest="source_lang")
     p.add_argument("--passes", type=lambda s: tuple(s.split(",")))
     p.add_argument("--log-level", dest="log_level", choices=["debug", "info", "warn", "error"])
+    p.add_argument("--contracts")
     p.add_argument("--config")
     out = vars(p.parse_args(argv))
     out["inputs"] = tuple(out["inputs"]) or None

@@ -30,6 +30,7 @@ _LABEL = re.compile(r'^(?:"([^"]+)"|([-\w.$]+)):')
 _CALL = re.compile(r'^(?:(?:tail|musttail|notail)\s+)?(?:call|invoke)\s+(?P<type>.*?)\s*(?P<callee>@"[^"]*"|@[-\w.$]+|%"[^"]*"|%[-\w.$]+)\((?P<rest>.*)$')
 _RESULT = re.compile(r'^(%(?:"[^"]*"|[-\w.$]+))\s*=\s*(.*)$')
 _TARGET = re.compile(r'label\s+%(?:"([^"]+)"|([-\w.$]+))')
+_PARAM = re.compile(r'\s(%(?:"[^"]*"|[-\w.$]+))$')
 _LINKAGES = {"private", "internal", "available_externally", "linkonce", "weak", "common", "appending", "extern_weak", "linkonce_odr", "weak_odr", "external"}
 _ATTRS = re.compile(
     r"\b(?:noundef|nonnull|noalias|nocapture|readonly|readnone|writeonly|signext|zeroext|inreg|returned|immarg|dso_local|local_unnamed_addr|unnamed_addr|fastcc|ccc|coldcc|"
@@ -116,9 +117,11 @@ def parse(module_id: str, text: str) -> Iterator[tuple[str, dict]]:
                 ret = " ".join(w for w in _ATTRS.sub(" ", m["head"]).split() if w not in _LINKAGES and not w.startswith("#"))
                 name = m["q"] if m["q"] is not None else m["n"]
                 kinds = _types(params)
+                given = [p for p in _split(params) if p != "..."]
+                named = [at[1].replace('"', "") if (at := _PARAM.search(p)) else f"%{i}" for i, p in enumerate(given)]
                 person = re.search(r'personality\s+.*?@(?:"([^"]*)"|([-\w.$]+))', tail)
                 dbg = re.search(r"!dbg\s+(!\d+)", tail)
-                yield "function", {"module_id": module_id, "func": name, "is_declaration": m["what"] == "declare", "linkage": linkage, "ret_type": ret, "param_types": kinds, "n_params": len(kinds), "variadic": "..." in params, "personality": (person[1] or person[2]) if person else None, "subprogram": dbg[1] if dbg else None, "line": None}
+                yield "function", {"module_id": module_id, "func": name, "is_declaration": m["what"] == "declare", "linkage": linkage, "ret_type": ret, "param_types": kinds, "n_params": len(kinds), "variadic": "..." in params, "personality": (person[1] or person[2]) if person else None, "subprogram": dbg[1] if dbg else None, "line": None, "params": named, "readonly": [bool(re.search(r"\breadonly\b", p)) for p in given]}
                 if m["what"] == "define":
                     now = _Function(name)
             continue

@@ -83,3 +83,8 @@ def write(issues: DataFrame, path: str, kind: str = "json") -> None:
         issues.write.mode("overwrite").format(kind).save(path)
     else:
         raise ValueError(f"unknown report: {kind}")
+
+
+def call_graph_lines(edges: DataFrame) -> DataFrame:
+    """value: a line for each caller and callee of the call-graph view, with the sites and whether the callee is outside the module."""
+    return edges.select(F.concat(F.col("module_id"), F.lit(": "), F.col("func"), F.lit(" -> "), F.col("callee"), F.format_string(" (%d)", "sites"), F.when(F.col("defined"), "").otherwise(" extern")).alias("value"))

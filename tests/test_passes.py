@@ -195,12 +195,16 @@ RUST = {
     "handed and freed": ("use_after_free", 0.72, "call void @take(ptr %b)\ncall void @free(ptr %b)"),
     "freed by Rust": (None, None, "call void @take(ptr %b)\ncall void @__rust_dealloc(ptr %b, i64 8, i64 8)"),
     "field after drop": ("borrow_escape", 0.78, "%f = getelementptr %Pair, ptr %b, i32 0, i32 1\ncall void @_RNv_drop_in_place(ptr %b)\n%x = load i32, ptr %f"),
+    "field of a readonly parameter written": ("write_to_immutable", 0.85, "%f = getelementptr %Pair, ptr %r, i32 0, i32 1\n%v = load ptr, ptr %f\nstore i8 1, ptr %v"),
+    "field of another parameter written": (None, None, "%f = getelementptr %Pair, ptr %b, i32 0, i32 1\n%v = load ptr, ptr %f\nstore i8 1, ptr %v"),
+    "called from a local": ("callback_ownership_risk", 0.78, "%s = alloca ptr\nstore ptr %b, ptr %s\n%c = load ptr, ptr %s\ncall void %c()"),
+    "kept in a local": (None, None, "%s = alloca ptr\nstore ptr %b, ptr %s\n%c = load ptr, ptr %s"),
     "field before drop": (None, None, "%f = getelementptr %Pair, ptr %b, i32 0, i32 1\n%x = load i32, ptr %f\ncall void @_RNv_drop_in_place(ptr %b)"),
 }
 
 
 def test_rust_rules(spark):
-    rows = [(k, f"define void @_RNvC1x1f(ptr %b) {{\n{body}\nret void\n}}") for k, (_, _, body) in RUST.items()]
+    rows = [(k, f"define void @_RNvC1x1f(ptr %b, ptr readonly %r) {{\n{body}\nret void\n}}") for k, (_, _, body) in RUST.items()]
     found = {}
     for r in passes.run(ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string")), ["rust-rules"]).collect():
         found.setdefault(r.module_id, set()).add((r.kind, r.confidence))
@@ -219,3 +223,59 @@ def test_taint_of_sources_and_indexes(spark):
     text = "define void @main(ptr %argv) {\n%a = getelementptr ptr, ptr %argv, i64 1\n%b = getelementptr [4 x [4 x i8]], ptr %a, i64 0, i64 1, i64 2\nret void\n}\ndefine void @other(ptr %p) {\n%q = load ptr, ptr %p\nret void\n}"
     m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
     assert {(r.func, r.value): r.conf for r in tainted(m).collect()} == {("main", "%argv"): 1.0, ("main", "%a"): 0.9, ("main", "%b"): 0.63}
+
+
+HELPERS = "define void @drop_it(ptr %a, ptr %x) {\ncall void @free(ptr %x)\nret void\n}\ndefine void @pass_on(ptr %y) {\ncall void @drop_it(ptr null, ptr %y)\nret void\n}\ndefine void @look(ptr %x) {\nret void\n}\n"
+ACROSS = {
+    "handed, then released": (1, "call void @pass_on(ptr %p)\ncall void @free(ptr %p)"),
+    "released, then handed": (1, "call void @free(ptr %p)\n%q = getelementptr i8, ptr %p, i64 0\ncall void @drop_it(ptr null, ptr %q)"),
+    "handed twice": (1, "call void @pass_on(ptr %p)\ncall void @pass_on(ptr %p)"),
+    "other parameter": (0, "call void @drop_it(ptr %p, ptr %z)\ncall void @free(ptr %p)"),
+    "only read": (0, "call void @look(ptr %p)\ncall void @free(ptr %p)"),
+    "exclusive": (0, "br i1 %c, label %a, label %b\na:\ncall void @pass_on(ptr %p)\nbr label %e\nb:\ncall void @free(ptr %p)\nbr label %e\ne:"),
+}
+
+
+def test_releases_across_functions(spark):
+    rows = [(k, f"{HELPERS}define void @f(ptr %p, ptr %z, i1 %c) {{\n{body}\nret void\n}}") for k, (_, body) in ACROSS.items()]
+    found = [r.module_id for r in passes.run(ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string")), ["cross-lang-dataflow"]).collect()]
+    assert {k: found.count(k) for k in ACROSS} == {k: n for k, (n, _) in ACROSS.items()}
+
+
+def test_reference_cycles_and_crossing_throws(spark):
+    rows = [
+        ("cycle", "define void @f(ptr %o) {\n%a = call ptr @PyList_New(i64 0)\n%b = call ptr @GetObjectField(ptr %o)\nret void\n}"),
+        ("one runtime", "define void @f(ptr %o) {\n%a = call ptr @PyList_New(i64 0)\n%b = call ptr @PyList_GetItem(ptr %o, i64 0)\nret void\n}"),
+        ("throws", "define void @_RNvC1x1f() {\ncall void @helper()\nret void\n}\ndefine void @helper() {\ncall void @__cxa_throw(ptr null, ptr null, ptr null)\nunreachable\n}"),
+        ("caught", "define void @_RNvC1x1f() {\ncall void @helper()\nret void\n}\ndefine void @helper() personality ptr @__gxx_personality_v0 {\ncall void @__cxa_throw(ptr null, ptr null, ptr null)\nunreachable\n}"),
+    ]
+    m = ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string"))
+    assert [(r.module_id, r.kind, r.confidence) for r in passes.run(m, ["reference-cycle"]).collect()] == [("cycle", "memory_leak", 0.75)]
+    assert [(r.module_id, r.func, r.severity) for r in passes.run(m, ["error-propagation"]).collect()] == [("throws", "helper", "high")]
+
+
+def test_layouts_and_signatures_of_many_modules(spark):
+    """Brute force over all pairs of modules."""
+    layouts = {"m1": "i32, i64", "m2": "i32, i64", "m3": "i32", "m4": "i64", "m5": "i32, i64", "m6": "i32"}
+    rows = [(k, f"%struct.S = type {{ {v} }}\ndefine i32 @main(i32 %a) {{\nret i32 0\n}}") for k, v in layouts.items()] + [("d", "declare i32 @main(i32, ptr)"), ("e", "declare i32 @main(i32)"), ("g", "declare i64 @main(i32)")]
+    m = ir_text.from_texts(spark.createDataFrame(rows, "module_id string, text string"))
+    want = {a for a in layouts for b in layouts if a < b and layouts[a] != layouts[b]}
+    assert sorted(r.module_id for r in passes.run(m, ["layout-mismatch"]).collect()) == sorted(want)
+    assert sorted((r.module_id, r.kind) for r in passes.run(m, ["abi-compat"]).collect()) == [("d", "type_mismatch"), ("g", "ffi_type_mismatch")]
+
+
+def test_library_contracts(spark, tmp_path):
+    from irloom import pipeline
+    from irloom.sources import config, sinks
+
+    toml = '[contracts.x]\n[[contracts.x.pair]]\nname = "h"\nallocate = ["x_new"]\nrelease = ["x_free", "x_unref"]\nownership = "caller"\nconfidence = 0.8\n[[contracts.x.pair]]\nname = "n"\nallocate = ["malloc"]\nrelease = ["x_sweep"]\nownership = "gc"\n'
+    body = {"right": "%p = call ptr @x_new()\ncall void @x_unref(ptr %p)", "wrong": "%p = call ptr @x_new()\ncall void @free(ptr %p)", "lost": "%p = call ptr @x_new()", "collected": "%p = call ptr @malloc(i64 8)"}
+    m = ir_text.from_texts(spark.createDataFrame([(k, f"define void @f() {{\n{b}\nret void\n}}") for k, b in body.items()], "module_id string, text string"))
+    rules = config.contracts(spark, toml)
+    found = sorted((r.module_id, r.kind, r.confidence) for r in pipeline.raw_issues(m, ["ownership-leak"], rules).collect())
+    assert found == [("lost", "memory_leak", 0.8), ("wrong", "contract_mismatch", 0.8)]
+    assert ("collected", "memory_leak") in {(r.module_id, r.kind) for r in pipeline.raw_issues(m, ["ownership-leak"]).collect()}
+    (tmp_path / "c.toml").write_text(toml)
+    kinds = {r.kind for r in pipeline.analyse(m, config.merge(config.Config(), {k: v for k, v in config.parse_args(["x", "--contracts", str(tmp_path / "c.toml"), "--passes", "ownership-leak"]).items() if k != "config"})).collect()}
+    assert "contract_mismatch" in kinds
+    assert [r.value for r in sinks.call_graph_lines(passes.facts(m, "call-graph")).orderBy("value").collect()][0] == "collected: f -> malloc (1) extern"
