@@ -1,4 +1,4 @@
-"""Event operators on streams. The batch forms are in operators; these keep state by key and close it by watermark."""
+"""Event operators on streams; the batch forms are in operators. Windows are closed by watermark, the states of contracts never."""
 
 from __future__ import annotations
 
@@ -25,7 +25,10 @@ def kind_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 min
 
 
 def contract_states(events: DataFrame) -> DataFrame:
-    """resource_id, state, invalid after each batch: the contract's state machine over events (resource_id, seq, trigger)."""
+    """resource_id, state, invalid after each batch: the contract's state machine over events (resource_id, seq, trigger).
+
+    Families and escapes play no part, unlike in ``lifecycle.contract_fold``. A resource's state (two values) is kept for good, since
+    events say nothing of its end; its events of one micro-batch are put in order together, in memory, so the trigger bounds them."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, invalid = state.get if state.exists else ("unknown", 0)
