@@ -63,14 +63,15 @@ class Rule:
 EXACT = Rule()
 
 
-def similar(rows: int, similarity: float = 0.8, shingle: int = 5) -> Rule:
-    """The rule for pairs of shingle sets of that similarity among so many rows.
+def similar(rows: int | None = None, similarity: float = 0.8, shingle: int = 5) -> Rule:
+    """The rule for pairs of shingle sets of that similarity. It is one rule for any number of rows: a pair's fate hangs on the two
+    texts, not on how many others there are.
 
     Sets with Jaccard J have cosine 2J / (1 + J), so a bit differs with odds p = acos(2J / (1 + J)) / pi, 0.151 at 0.8. Candidates
-    go two deviations beyond the mean, which keeps 0.977 of the pairs just at J and more of those above. Blocks widen as rows
-    grow, so that blocks of unrelated texts agree by chance ever more rarely; of the pairs just at 0.8 some block agrees up to
-    its radius for 0.995, 0.98 and 0.98."""
-    lanes, blocks, radius = (4, 16, 1) if rows <= 1 << 20 else (8, 24, 1) if rows <= 1 << 26 else (16, 32, 2)
+    go two deviations beyond the mean, which keeps 0.977 of the pairs just at J and more of those above; of the pairs just at 0.8
+    some block agrees up to its radius for 0.995. Of unrelated pairs, 16 * 17 / 2 ** 16 agree in some block by chance: that is the
+    part of the comparisons that grows with the square of the rows."""
+    lanes, blocks, radius = 4, 16, 1
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = 64 * lanes
     return Rule(shingle, lanes, int(width * p + 2 * math.sqrt(width * p * (1 - p))), blocks, radius, similarity)
@@ -478,7 +479,7 @@ def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """One row of docs for each component: of the rows with its smallest id, one of the smallest text hash.
 
     Rows without id stay where their component has no row with one. Decisions are joined back by id and a hash of the text."""
-    rule = rule or similar(docs.count())
+    rule = rule or similar()
     there = docs.withColumn("__mark", F.xxhash64("text"))
     keyed = there.select(F.col("doc_id").cast("long"), "text", "__mark")
     own = materialise(fingerprints(keyed, rule, ["__mark"]), "sim-fingerprints")

@@ -361,6 +361,11 @@ def test_blocks_meet_for_similar_texts(rows):
     assert missed < 0.025 and far < 0.03
 
 
+def test_similar_rule_is_one_for_every_size():
+    """What is linked doesn't change where a table grows past some number of rows."""
+    assert len({simhash.similar(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, (1 << 26) + 1, 1 << 34)} | {simhash.similar()}) == 1
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     docs = odd_docs(spark)
     out = [r.doc_id for r in simhash.keep_one(docs).collect()]
