@@ -52,18 +52,28 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def can_reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """src, dst, reachable for each pair; pairs are grouped by their source, one label a source travels."""
-    arcs = materialise(edges.select("src", "dst").distinct(), "arcs")
-    seen = materialise(pairs.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct(), "pairs")
-    front = seen
-    while True:
-        front = front.join(arcs, front["node"] == arcs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = materialise(front.join(seen, ["root", "node"], "left_anti"), "pairs")
+    """src, dst, reachable for each pair. Sources travel 64 at a time as bits of one number, along arcs that lead on or to a target
+    only; a source whose targets are all met travels no further."""
+    on = edges.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    arcs = edges.select("src", "dst").join(on, F.col("dst") == F.col("node"), "left_semi").distinct()
+    arcs = materialise(arcs.select(F.col("src").alias("node"), F.col("dst").alias("to")), "arcs")
+    roots = materialise(pairs.select(F.col("src").alias("root")).distinct().withColumn("n", F.monotonically_increasing_id()), "pairs")
+    seen = materialise(roots.select(F.shiftright("n", 6).alias("lot"), F.col("root").alias("node"), F.expr("shiftleft(1L, CAST(n % 64 AS INT))").alias("bits")), "pairs")
+    left = pairs.where("src <> dst").select("src", "dst").distinct().join(seen, F.col("src") == F.col("node")).select("src", "dst", "lot", "bits")
+    left, front = materialise(left, "pairs"), seen
+    while not left.isEmpty():
+        open_ = left.groupBy(F.col("lot").alias("l")).agg(F.expr("bit_or(bits)").alias("open"))
+        front = front.join(open_, F.col("lot") == F.col("l")).select("lot", "node", F.col("bits").bitwiseAND(F.col("open")).alias("bits")).where("bits <> 0")
+        came = front.join(arcs, "node").groupBy("lot", F.col("to").alias("node")).agg(F.expr("bit_or(bits)").alias("new"))
+        front = materialise(came.join(seen, ["lot", "node"], "left").select("lot", "node", F.expr("new & ~coalesce(bits, 0L)").alias("bits")).where("bits <> 0"), "pairs")
         if front.isEmpty():
             break
-        seen = materialise(seen.union(front), "pairs")
-    hit = seen.select(F.col("root").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("hit"))
-    return pairs.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("reachable"))
+        seen = materialise(seen.union(front).groupBy("lot", "node").agg(F.expr("bit_or(bits)").alias("bits")), "pairs")
+        met = front.select(F.col("lot").alias("l"), F.col("node").alias("dst"), F.col("bits").alias("came"))
+        left = materialise(left.join(met, (left["lot"] == met["l"]) & (left["dst"] == met["dst"]) & (left["bits"].bitwiseAND(met["came"]) != 0), "left_anti"), "pairs")
+    missed = left.select("src", "dst", F.lit(True).alias("missed"))
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    return pairs.join(missed, ["src", "dst"], "left").select("src", "dst", (whole & F.col("missed").isNull()).alias("reachable"))
 
 
 def trim(edges: DataFrame) -> DataFrame:

@@ -222,3 +222,32 @@ def test_alias_fixpoint_is_that_of_the_rule(spark, monkeypatch):
     monkeypatch.setattr(facts, "snapshot", lambda df, f=facts.snapshot: kept.append((df.columns, f(df))) or kept[-1][1])
     assert facts.alias_fixpoint(star).count() == 601
     assert max(d.count() for c, d in kept if c == ["subject", "context", "node"]) == 1  # the way 1 -> 2, and none of the ends
+
+
+def test_can_reach_stops_and_shares_rounds(spark, monkeypatch):
+    """More sources than bits, cycles, targets without a way on, pairs of one node and nulls; a met source goes no further."""
+    import random
+
+    rng = random.Random(6)
+    arcs = {(rng.randrange(150), rng.randrange(150)) for _ in range(190)}
+    on = {}
+    for a, b in arcs:
+        on.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in on.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    edges = spark.createDataFrame(sorted(arcs), "src long, dst long")
+    pairs = [(a, b) for a in range(0, 150) for b in (3, 77, a)] + [(1, 9_999), (None, 3), (3, None), (1, 3)]
+    got = sorted(map(tuple, graph.can_reach(edges, spark.createDataFrame(pairs, "src long, dst long")).collect()), key=str)
+    assert got == sorted([(a, b, a is not None and b in reached(a)) for a, b in pairs], key=str)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    rounds = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name, f=graph.materialise: rounds.append(name) or f(df, name))
+    assert graph.can_reach(chain, spark.createDataFrame([(0, 2), (1, 2)], "src long, dst long")).where("reachable").count() == 2 and len(rounds) < 12
