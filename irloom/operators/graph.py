@@ -30,18 +30,23 @@ def checked_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return good, edges.join(good.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
+#: Nodes of a front that is sent to all executors; a larger one is hashed, and arcs stream past it unsorted.
+FRONT = 100_000
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """node, depth: fewest edges from any seed (node) to each node, up to `most` edges."""
-    arcs = materialise(edges.select("src", "dst").distinct(), "arcs")
+    arcs = materialise(edges.select("src", "dst"), "arcs")
     seen = materialise(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    front, depth = seen, 0
-    while most is None or depth < most:
+    front, depth, n = seen, 0, seen.count()
+    while n and (most is None or depth < most):
         depth += 1
-        front = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node")).distinct()
+        front = F.broadcast(front) if n <= FRONT else front.hint("shuffle_hash")
+        front = front.join(arcs, F.col("node") == arcs["src"]).select(F.col("dst").alias("node")).distinct()
         front = materialise(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
+        n = front.count()
+        if n:
+            seen = seen.union(front)
         if depth % 16 == 0:
             seen = materialise(seen, "reach")
     return seen

@@ -251,3 +251,18 @@ def test_can_reach_stops_and_shares_rounds(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(graph, "materialise", lambda df, name, f=graph.materialise: rounds.append(name) or f(df, name))
     assert graph.can_reach(chain, spark.createDataFrame([(0, 2), (1, 2)], "src long, dst long")).where("reachable").count() == 2 and len(rounds) < 12
+
+
+def test_reach_sends_small_fronts_and_hashes_large_ones(spark, monkeypatch):
+    """Arcs are neither made distinct nor sorted: they stream past the front, whichever way it is met."""
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 90) for i in range(60) for k in (1, 2, 2)], "src long, dst long")
+    seeds, plans = spark.createDataFrame([(5,), (5,)], "node long"), []
+    monkeypatch.setattr(graph, "materialise", lambda df, name, f=graph.materialise: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    sent = sorted(map(tuple, graph.reach(edges, seeds).collect()))
+    assert "Aggregate" not in plans[0] and "BroadcastHashJoin" in plans[2]
+    monkeypatch.setattr(graph, "FRONT", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plans.clear()
+    assert sorted(map(tuple, graph.reach(edges, seeds).collect())) == sent and len(sent) > 5
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plans[2]
