@@ -279,3 +279,20 @@ def test_library_contracts(spark, tmp_path):
     kinds = {r.kind for r in pipeline.analyse(m, config.merge(config.Config(), {k: v for k, v in config.parse_args(["x", "--contracts", str(tmp_path / "c.toml"), "--passes", "ownership-leak"]).items() if k != "config"})).collect()}
     assert "contract_mismatch" in kinds
     assert [r.value for r in sinks.call_graph_lines(passes.facts(m, "call-graph")).orderBy("value").collect()][0] == "collected: f -> malloc (1) extern"
+
+
+def test_parsed_rows_travel_in_full_batches(spark, monkeypatch):
+    """Rows of many small modules share a batch; a module of more rows than a batch is whole."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ir_text, "BATCH", 50)
+    texts = [(f"m{i}", f"define void @f{i}() {{\n  call void @free(ptr @g)\n  ret void\n}}") for i in range(40)] + [("big", "define void @f() {\n" + "  call void @free(ptr @g)\n" * 120 + "  ret void\n}"), ("none", None)]
+    seen, real = [], pa.RecordBatch.from_arrays
+    run = {}
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, real=frame.mapInArrow, **k: run.update(f=f) or real(self, f, schema, **k))
+    m = ir_text.from_texts(spark.createDataFrame(texts, "module_id string, text string"))
+    assert m.modules.count() == 42 and m.functions.count() == 41 and m.instructions.count() == 40 * 2 + 121
+    batch = real([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts])], ["module_id", "text"])
+    seen = [b.num_rows for b in run["f"](iter([batch]))]
+    assert sum(seen) == 42 + 41 + 201 and seen[:-1] == [50] * (len(seen) - 1)
