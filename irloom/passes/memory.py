@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from irloom import vocab
+from irloom.functions.storage import materialise
 from irloom.passes import base, detector, issue, view
 from irloom.passes.base import KEY
 from irloom.sources.ir_text import Module
@@ -61,27 +62,33 @@ def buffer_overflow(m: Module) -> DataFrame:
 
 
 def _freed(m: Module) -> DataFrame:
-    """Releases with the root of what they release."""
-    return base.rooted(m, base.releases(m))
+    """Releases with the root of what they release. Made once for a module."""
+    if "freed" not in m.kept:
+        m.kept["freed"] = materialise(base.rooted(m, base.releases(m)), "freed")
+    return m.kept["freed"]
+
+
+def _earliest(m: Module) -> DataFrame:
+    """module_id, func, ptr, bb, first: the first release of ptr in the block or in one that reaches it. A later row is after a
+    release if it is after this one: releases need not be paired."""
+    own = _freed(m).groupBy(*KEY, "ptr", "bb").agg(F.min("ordinal").alias("first"))
+    from_far = own.withColumnRenamed("bb", "src_bb").join(base.block_reach(m), [*KEY, "src_bb"]).select(*KEY, "ptr", F.col("dst_bb").alias("bb"), "first")
+    return own.unionByName(from_far).groupBy(*KEY, "ptr", "bb").agg(F.min("first").alias("first"))
 
 
 @detector("memory-safety", ("cfg",))
 def double_free(m: Module) -> DataFrame:
     """A pointer released again in the same block, or in a block that the first release's reaches; exclusive branches are no pair."""
-    f = _freed(m)
-    a = f.select(*KEY, "ptr", F.col("bb").alias("src_bb"), F.col("ordinal").alias("first"))
-    pairs = f.join(a, [*KEY, "ptr"]).where("first < ordinal").withColumnRenamed("bb", "dst_bb")
-    met = pairs.join(base.block_reach(m).withColumn("linked", F.lit(True)), [*KEY, "src_bb", "dst_bb"], "left").where("src_bb = dst_bb OR linked")
+    met = _freed(m).join(_earliest(m), [*KEY, "ptr", "bb"]).where("first < ordinal")
     return issue(met.select(*KEY, "ordinal").distinct(), "double_free", "critical", 0.9, "pointer is released twice on one path")
 
 
 @detector("ptr-lifetime", ("cfg",))
 def use_after_free(m: Module) -> DataFrame:
     """Loads, stores and calls on a pointer after its release, on one path; other releases are double frees, not uses."""
-    f = _freed(m).select(*KEY, F.col("ptr").alias("root"), F.col("bb").alias("src_bb"), F.col("ordinal").alias("freed_at"))
     deref = base.uses(m).where(F.col("opcode").isin("load", "store", "call", "invoke") & ~F.coalesce(F.col("callee").isin(base.RELEASES), F.lit(False)))
-    u = base.rooted(m, deref.select(*KEY, F.col("value").alias("ptr"), F.col("bb").alias("dst_bb"), "ordinal")).withColumnRenamed("ptr", "root")
-    met = u.join(f, [*KEY, "root"]).where("ordinal > freed_at").join(base.block_reach(m).withColumn("linked", F.lit(True)), [*KEY, "src_bb", "dst_bb"], "left").where("src_bb = dst_bb OR linked")
+    u = base.rooted(m, deref.select(*KEY, F.col("value").alias("ptr"), "bb", "ordinal"))
+    met = u.join(_earliest(m), [*KEY, "ptr", "bb"]).where("ordinal > first")
     return issue(met.select(*KEY, "ordinal").distinct(), "use_after_free", "critical", 0.8, "pointer is used after its release")
 
 

@@ -281,6 +281,20 @@ def test_library_contracts(spark, tmp_path):
     assert [r.value for r in sinks.call_graph_lines(passes.facts(m, "call-graph")).orderBy("value").collect()][0] == "collected: f -> malloc (1) extern"
 
 
+def test_releases_are_not_paired(spark, monkeypatch):
+    """Many releases of one pointer: each but the first on its way is found, from a table with one row a pointer and block."""
+    from irloom.passes import memory
+
+    frees = "call void @free(ptr %p)\n"
+    uses = "store i32 1, ptr %p\n"
+    text = "define void @f(i1 %c, ptr %p) {\nbr i1 %c, label %a, label %b\na:\n" + frees * 30 + "br label %e\nb:\n" + frees * 2 + uses + "br label %e\ne:\n" + frees * 3 + uses + "ret void\n}"
+    m = ir_text.from_texts(spark.createDataFrame([("m", text)], "module_id string, text string"))
+    found = [r.ordinal for r in passes.run(m, ["memory-safety"]).collect()]
+    after = [r.ordinal for r in passes.run(m, ["ptr-lifetime"]).collect()]
+    assert sorted(found) == [*range(2, 31), 33, 36, 37, 38] and sorted(after) == [34, 39]
+    assert memory._earliest(m).count() == 3 and "freed" in m.kept
+
+
 def test_parsed_rows_travel_in_full_batches(spark, monkeypatch):
     """Rows of many small modules share a batch; a module of more rows than a batch is whole."""
     import pyarrow as pa
