@@ -20,6 +20,7 @@ gives an empty result. Prediction reads nothing but the text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,15 +136,19 @@ def train(rows: DataFrame) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, PIECE, ROWS):
             x = vectors(*utf8(part)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["lang", "x"])
 
     got = sample.select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
     labels = sorted(set(got.column("lang").to_pylist()))
     if not labels:
         return None
     at = {k: i for i, k in enumerate(labels)}
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, FEATURES)
-    return fit(x, np.array([at[k] for k in got.column("lang").to_pylist()]), labels)
+    y = np.array([at[k] for k in got.column("lang").to_pylist()])
+    x = np.empty((len(y), FEATURES), np.float16)
+    for row, packed in zip(x, got.column("x")):  # they travel packed, so that the driver holds them whole once
+        row[:] = np.frombuffer(zlib.decompress(packed.as_buffer()), np.float16)
+    del got
+    return fit(x, y, labels)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

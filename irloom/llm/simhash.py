@@ -43,6 +43,8 @@ XXH_SEED = 42
 #: Fingerprints that fit the tree (all are indexed), fingerprints of a shard's own aimed at, and depth of the shared tree.
 SAMPLE, SHARD_ROWS, MOST_DEPTH = 65_536, 16_384, 16
 LEAF = 256
+#: Edges that one task contracts by itself.
+FEW = 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -344,8 +346,28 @@ def search(fps: np.ndarray, own: np.ndarray, lane: int, mask: np.uint64, rule: R
     return pairs.edges()
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contraction of all edges of a task."""
+    table = pa.Table.from_batches([b.select(["a", "b"]) for b in batches], pa.schema({"a": pa.binary(), "b": pa.binary()}))
+    ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks], pa.binary()).combine_chunks().dictionary_encode()
+    order = pa.compute.sort_indices(ends.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = rank[ends.indices.to_numpy()]
+    forest = Forest(len(rank))
+    forest.link(at[: len(at) // 2], at[len(at) // 2 :])
+    root = forest._roots(np.arange(len(rank)))
+    far = np.nonzero(root != np.arange(len(rank)))[0]
+    names = ends.dictionary.take(order)
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(root[far]))], ["a", "b"])
+
+
 def _contract(edges: DataFrame) -> DataFrame:
-    """a, b with b the smallest of a's component, for every a that isn't; edges have a > b."""
+    """a, b with b the smallest of a's component, for every a that isn't; edges have a > b.
+
+    Few edges are one task's work, which spares the rounds; what comes out is the same."""
+    if edges.count() <= FEW:
+        return materialise(edges.select("a", "b").coalesce(1).mapInArrow(_stars, "a binary, b binary"), "sim-stars")
     seen = None
     while True:  # every round but the last lowers some label; their number grows with the logarithm of the size
         # large star: each node hands its larger neighbours to the smallest node it knows
@@ -369,7 +391,7 @@ def forests(unique: DataFrame, rule: Rule = EXACT) -> DataFrame:
     sample = unique.select("fp")
     if n > SAMPLE:
         sample = sample.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)) + 1).limit(2 * SAMPLE)
-    fitted = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in sample.toLocalIterator())), ">u8").astype(np.uint64).reshape(-1, rule.lanes)
+    fitted = np.frombuffer(b"".join(sorted(sample.toArrow().column("fp").to_pylist())), ">u8").astype(np.uint64).reshape(-1, rule.lanes)  # one job, however many partitions
     depth = 0
     while depth < MOST_DEPTH and (n >> depth) > SHARD_ROWS // 2:
         depth += 1

@@ -361,6 +361,27 @@ def test_blocks_meet_for_similar_texts(rows):
     assert missed < 0.025 and far < 0.03
 
 
+def test_contraction_in_one_task_and_in_rounds(spark, monkeypatch):
+    """Few edges are contracted in one task, many in rounds over the cluster: the stars are the same."""
+    rng = random.Random(2)
+    pairs = {(max(a, b), min(a, b)) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(250)) if a != b}
+    edges = spark.createDataFrame([(a.to_bytes(9, "big"), b.to_bytes(9, "big")) for a, b in pairs], "a binary, b binary").repartition(7)
+    one = {(bytes(r.a), bytes(r.b)) for r in simhash._contract(edges).collect()}
+    monkeypatch.setattr(simhash, "FEW", 0)
+    assert one == {(bytes(r.a), bytes(r.b)) for r in simhash._contract(edges).collect()} and len(one) > 100
+    monkeypatch.undo()
+    assert simhash._contract(edges.limit(0)).count() == 0
+
+
+def test_language_sample_reaches_the_driver_packed(spark, monkeypatch):
+    """What the driver collects to fit the classifiers is a small part of the vectors."""
+    docs = spark.createDataFrame([(i, f"{'ab' if i % 2 else 'cd'} w{i} " * 20, "xy"[i % 2]) for i in range(600)], "doc_id long, text string, lang string")
+    frame, got = type(docs), []
+    monkeypatch.setattr(frame, "toArrow", lambda self, f=frame.toArrow: got.append(f(self)) or got[-1])
+    assert language_id.train(docs).labels == ["x", "y"]
+    assert got[0].num_rows == 600 and got[0].nbytes < 600 * language_id.FEATURES * 2 / 4
+
+
 def test_similar_rule_is_one_for_every_size():
     """What is linked doesn't change where a table grows past some number of rows."""
     assert len({simhash.similar(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, (1 << 26) + 1, 1 << 34)} | {simhash.similar()}) == 1
