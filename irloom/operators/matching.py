@@ -44,10 +44,33 @@ def call_graph(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return calls.join(functions.select(F.col("func").alias("callee")).distinct(), "callee", "left_semi").select(F.col("func").alias("src"), F.col("callee").alias("dst")).distinct()
 
 
+SIGNATURE = ["ret_type", "param_types"]
+TILE = 256  # most ids of calls, and of functions, that are unfolded at once: Spark holds these pairs in memory
+SLICE = 4096  # most calls of a signature that stay together in one task
+TASK_CALLS = 100_000  # calls a task: a Parquet dictionary (1 MB) has room for all of their ids
+
+
+def _tiles(df: DataFrame, column: str) -> DataFrame:
+    """SIGNATURE, slice, tile, ids: the rows of each signature in arrays of at most TILE, numbered in each signature."""
+    place = (F.row_number().over(Window.partitionBy(*SIGNATURE).orderBy(column)) - 1).cast("long")
+    numbered = df.select(*SIGNATURE, column, place.alias("place")).select(*SIGNATURE, F.expr(f"place div {SLICE}").alias("slice"), F.expr(f"place div {TILE}").alias("tile"), column)
+    return numbered.groupBy(*SIGNATURE, "slice", "tile").agg(F.transform(F.collect_list(F.struct(column)), lambda x: x[column]).alias("ids"))  # in structs nulls are kept
+
+
 def devirtualise(indirect: DataFrame, functions: DataFrame) -> DataFrame:
-    """Indirect calls (call_id, ret_type, param_types) with the functions of that signature: an equality, not a theta join."""
-    key = lambda f: f.withColumn("sig", F.concat_ws("|", "ret_type", F.concat_ws(",", "param_types")))
-    return key(indirect).join(key(functions).select("sig", "func"), "sig").select("call_id", "func")
+    """Indirect calls (call_id, ret_type, param_types) with the functions of that signature: an equality, not a theta join; an unknown type is equal to none.
+
+    The result has a row for each pair, so it grows as a product; what is joined, moved and held does not. Tiles of calls meet tiles of functions and are unfolded where they
+    are written: a call's run of rows and the short list of functions that comes back with each call take next to nothing in Parquet, in any number. The slices of a common
+    signature are spread over the tasks. The merge join unfolds one pair of tiles at a time, a hash join all that a tile meets."""
+    tasks = max(indirect.sparkSession.sparkContext.defaultParallelism, indirect.count() // TASK_CALLS + 1)
+    indirect, functions = (f.where("ret_type IS NOT NULL AND NOT exists(param_types, x -> x IS NULL)") for f in (indirect, functions))
+    last = indirect.groupBy(*SIGNATURE).agg(F.expr(f"(count(1) - 1) div {SLICE}").alias("last"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("slice")
+    callees = _tiles(functions, "func").join(last, SIGNATURE).select(*SIGNATURE, every, F.col("ids").alias("funcs"))
+    by = [*SIGNATURE, "slice"]
+    met = _tiles(indirect, "call_id").repartition(tasks, *by).join(callees.repartition(tasks, *by).hint("merge"), by)
+    return met.select(F.explode("ids").alias("call_id"), "funcs").select("call_id", F.explode("funcs").alias("func"))
 
 
 def unreleased(allocs: DataFrame, frees: DataFrame) -> DataFrame:

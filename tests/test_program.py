@@ -6,9 +6,10 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from irloom.functions import names
-from irloom.operators import program
+from irloom.operators import matching, program
 from irloom.plans import bindings, catalog
 from irloom.sources import ir_text
 
@@ -129,3 +130,25 @@ def test_joins_hold_every_id(spark, tmp_path):
     spark.createDataFrame([(7, 4, "F"), (9_007, 4, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
     assert {r.call_id for r in run("devirtualised_calls").collect()} == {7, 9_007}
     assert {r.node for r in run("danger_surface").collect()} == set(range(80))
+
+
+def test_devirtualised_signatures_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TILE", 3)
+    monkeypatch.setattr(matching, "SLICE", 6)
+    types = [("F", ["a,b"]), ("F", ["a", "b"]), ("F", []), ("F|a", ["b"]), ("F", ["a|b"]), (None, ["a", "b"]), ("F", [None, "a", "b"]), ("F", None), ("P", ["x"])]
+    calls = [(i, *types[i % 8 if i % 3 else 0]) for i in range(100)] + [(7, *types[1])] * 2 + [(None, *types[1])]
+    functions = [(i, *types[i % 7]) for i in range(60)] + [(None, *types[0]), (1, *types[8]), (1, *types[5])]
+    known = lambda t: t[0] is not None and t[1] is not None and None not in t[1]
+    want = sorted(str((c[0], f[0])) for c in calls for f in functions if c[1:] == f[1:] and known(c[1:]))
+    got = matching.devirtualise(spark.createDataFrame(calls, "call_id long, ret_type string, param_types array<string>"), spark.createDataFrame(functions, "func long, ret_type string, param_types array<string>"))
+    assert sorted(str((r.call_id, r.func)) for r in got.collect()) == want and len(want) > 700
+
+
+def test_devirtualised_pairs_take_little_room(spark, tmp_path):
+    """200 signatures of 100 calls and 100 functions each, dealt in turn: all two million pairs are written, in less than half a byte each."""
+    kind = F.array((F.col("id") % 200).cast("string"))
+    calls = spark.range(20_000).select(F.col("id").alias("call_id"), F.lit("F").alias("ret_type"), kind.alias("param_types"))
+    matching.devirtualise(calls, calls.withColumnRenamed("call_id", "func")).coalesce(4).write.parquet(f"{tmp_path}/pairs")
+    back = spark.read.parquet(f"{tmp_path}/pairs")
+    assert back.distinct().count() == 2_000_000 == back.where("call_id % 200 = func % 200").count()
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 1_000_000
