@@ -60,7 +60,8 @@ def _tiles(df: DataFrame, column: str) -> DataFrame:
 def devirtualise(indirect: DataFrame, functions: DataFrame) -> DataFrame:
     """Indirect calls (call_id, ret_type, param_types) with the functions of that signature: an equality, not a theta join; an unknown type is equal to none.
 
-    The result has a row for each pair, so it grows as a product; what is joined, moved and held does not. Tiles of calls meet tiles of functions and are unfolded where they
+    The result has a row for each pair, so it grows as a product; what is moved does not, but for a copy of a signature's
+    functions for each SLICE of its calls. Tiles of calls meet tiles of functions and are unfolded where they
     are written: a call's run of rows and the short list of functions that comes back with each call take next to nothing in Parquet, in any number. The slices of a common
     signature are spread over the tasks. The merge join unfolds one pair of tiles at a time, a hash join all that a tile meets."""
     tasks = max(indirect.sparkSession.sparkContext.defaultParallelism, indirect.count() // TASK_CALLS + 1)
