@@ -224,6 +224,31 @@ def test_alias_fixpoint_is_that_of_the_rule(spark, monkeypatch):
     assert max(d.count() for c, d in kept if c == ["subject", "context", "node"]) == 1  # the way 1 -> 2, and none of the ends
 
 
+def test_alias_fixpoint_moves_bits_not_ways(spark, monkeypatch):
+    """More sources than a row has bits, all on the same long way: what is kept on the way stays below the facts that come in. Nulls stay by themselves."""
+    arcs = [(s, 5_000, c) for s in range(1_100) for c in (0, 1)] + [(5_000 + i, 5_001 + i, 1) for i in range(8)] + [(5_003, 3, 1), (5_008, -9, 1), (5_008, 1 << 33, 1)]
+    lone = [(None, 5_000, 0), (5_000, None, 1), (3, None, None)]
+    store = spark.createDataFrame([("alias_may", *x) for x in arcs + lone + arcs[:5]], "kind string, subject long, object long, context long")
+    kept = []
+    monkeypatch.setattr(facts, "snapshot", lambda df, f=facts.snapshot: kept.append(f(df)) or kept[-1])
+    out = facts.alias_fixpoint(store)
+    assert max(d.count() for d in kept) <= 2 * len(arcs)
+    on = {}
+    for a, b, _ in arcs:
+        on.setdefault(a, set()).add(b)
+    want = set(lone)
+    for a, b, c in arcs:
+        todo = [b]
+        want.add((a, b, c))
+        while todo:
+            for d in on.get(todo.pop(), ()):
+                if d != a and (a, d, c) not in want:
+                    want.add((a, d, c))
+                    todo.append(d)
+    got = [(r.subject, r.object, r.context) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_can_reach_stops_and_shares_rounds(spark, monkeypatch):
     """More sources than bits, cycles, targets without a way on, pairs of one node and nulls; a met source goes no further."""
     import random
