@@ -15,6 +15,10 @@
 4. A rule with a similarity then joins the shingle sets of both ends to each edge and keeps the edges whose sets have that
    Jaccard similarity. A path in a minimum spanning forest has no edge longer than the pair that it joins, so a similar pair
    stays together unless a still closer pair on its path fails.
+   Fingerprints find most similar pairs, but not all. An exact way finds the rest: of two similar sets, each has one of the other's
+   shingles among its first ones, in any order that is the same for all (the commonest last, so that few sets share a first one).
+   Sets that share one and are not together yet are compared, if their sizes and the shingle's places allow the similarity. Sets
+   travel only for pairs that the parities of their shingles, about a bit for each, do not rule out.
 5. Forests meet by star contraction (large star, small star) on DataFrames, until nothing changes.
 
 Only distinct fingerprints (distinct shingle sets, where a similarity counts) are searched: copies are folded before the first
@@ -43,6 +47,8 @@ XXH_SEED = 42
 #: Fingerprints that fit the tree (all are indexed), fingerprints of a shard's own aimed at, and depth of the shared tree.
 SAMPLE, SHARD_ROWS, MOST_DEPTH = 65_536, 16_384, 16
 LEAF = 256
+#: Texts that fit the order of shingles, common shingles that it puts last, and first shingles of one part.
+ORDER_TEXTS, ORDER_MOST, PART = 4_096, 1 << 17, 1 << 20
 #: Edges that one task contracts by itself.
 FEW = 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -149,11 +155,61 @@ def _from_binary(values: pa.Array | pa.ChunkedArray, lanes: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, lanes)
 
 
+def _common(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met more than once in a sample of the texts (text, __mark), ascending, and in how many texts of it."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("__mark"), F.lit(1 << 20)) < int(ORDER_TEXTS / max(1, n) * (1 << 20)) + 1).select("text", "__mark").dropDuplicates(["__mark"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], rule.shingle)
+            found, times = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "times"])
+
+    met = some.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 1")
+    found = met.orderBy(F.desc("times"), "shingle").limit(ORDER_MOST).toArrow()
+    shingle, times = found.column("shingle").to_numpy().view(np.uint64), found.column("times").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], times[order]
+
+
+def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, ascending by how common they are, then by value: so many that a similar set shares one of them."""
+    most = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1 if len(shingles) else 0
+    known, times = common
+    if not len(known):
+        return shingles[:most]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    often = known[at] == shingles
+    rare = shingles[~often][:most]
+    return rare if len(rare) == most else np.concatenate((rare, shingles[often][np.argsort(times[at[often]], kind="stable")]))[:most]
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    """40 bits of each: four bytes of all, then one of all. Chance meetings only cost a comparison."""
+    return (shingles & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (shingles >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _odd(shingles: np.ndarray) -> bytes:
+    """Bits that are 1 where an odd number of shingles falls; their number is a power of two, no less than the shingles."""
+    n = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    return np.packbits(np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1 == 1, bitorder="little").tobytes()
+
+
+def _least_apart(x: bytes, y: bytes) -> int:
+    """So many shingles at least are in only one of the two sets; the longer bits are folded."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum())
+
+
 def fingerprints(docs: DataFrame, rule: Rule = EXACT, extra: list[str] | None = None) -> DataFrame:
     """doc_id, fp (big-endian bytes) and digest of every row; `extra` columns (long) come along.
 
-    Rows of one digest are copies: it is the fingerprint itself or, with a similarity, a hash of the shingle set."""
+    Rows of one digest are copies: it is the fingerprint itself or, with a similarity, a hash of the shingle set. A similarity also
+    gives the set's size, its first shingles and parities (docs then has __mark, a hash of the text)."""
     extra = extra or []
+    known = docs.sparkSession.sparkContext.broadcast(_common(docs, rule)) if rule.similarity else None  # 16 bytes for each of ORDER_MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -162,11 +218,14 @@ def fingerprints(docs: DataFrame, rule: Rule = EXACT, extra: list[str] | None =
                 sets = shingle_sets(texts, rule.shingle)
                 fp = _as_binary(_majorities(sets, rule))
                 digest = pa.array([xxhash.xxh64_digest(x.tobytes(), XXH_SEED) for x in sets], pa.binary())
+                more = [pa.array([len(x) for x in sets], pa.int32()), pa.array([_packed(_first(x, known.value, rule.similarity)) for x in sets], pa.binary()), pa.array([_odd(x) for x in sets], pa.binary())]
             else:
                 fp = digest = _as_binary(fingerprint_array(texts, rule))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in extra], fp, digest], ["doc_id", *extra, "fp", "digest"])
+                more = []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in extra], fp, digest, *more], ["doc_id", *extra, "fp", "digest", *["size", "first", "odd"][: len(more)]])
 
-    return docs.select(F.col("doc_id").cast("long"), *extra, "text").mapInArrow(run, ", ".join(["doc_id long", *[f"`{c}` long" for c in extra], "fp binary, digest binary"]))
+    kinds = ["doc_id long", *[f"`{c}` long" for c in extra], "fp binary, digest binary", *(["size int, first binary, odd binary"] if rule.similarity else [])]
+    return docs.select(F.col("doc_id").cast("long"), *extra, "text").mapInArrow(run, ", ".join(kinds))
 
 
 def _masks(rule: Rule) -> list[tuple[int, np.uint64]]:
@@ -461,6 +520,84 @@ def verified(edges: DataFrame, unique: DataFrame, docs: DataFrame, rule: Rule) -
     return edges.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
+def shared(own: DataFrame) -> DataFrame:
+    """shingle, digest, size, place: every first shingle (of own) that different sets have, its sets and its place in them."""
+    parts = (own.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 5 // PART + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, rows = np.unique(_from_binary(batch.column("digest"), 1)[:, 0], return_index=True)
+            first, size = batch.column("first").take(pa.array(rows)).to_pylist(), batch.column("size").to_numpy()[rows]
+            count = np.fromiter(map(len, first), np.int64, len(first)) // 5
+            shingle = np.frombuffer(b"".join(x[: n * 4] for x, n in zip(first, count)), "<u4")
+            high = np.frombuffer(b"".join(x[n * 4 :] for x, n in zip(first, count)), np.uint8)
+            place = np.minimum(np.arange(len(shingle)) - np.repeat(np.cumsum(count) - count, count), 0xFFFF).astype(np.uint16)
+            part = shingle.astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            of = np.repeat(np.arange(len(first)), count)
+            for k in np.nonzero(np.diff(cuts))[0]:
+                at = order[cuts[k] : cuts[k + 1]]
+                sets, times = np.unique(of[at], return_counts=True)
+                columns = [shingle[at], high[at], place[at], names[sets], size[sets].astype(np.int32), times.astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], ["part", "shingles", "highs", "places", "names", "sizes", "times"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        whole = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+        shingle, times = whole("shingles", "<u4").astype(np.int64) | whole("highs", np.uint8).astype(np.int64) << 32, whole("times", np.uint32)
+        order = np.argsort(shingle, kind="stable")
+        same = shingle[order][1:] == shingle[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        of = np.repeat(np.arange(len(times)), times)[order]
+        shingle, place, name, size = shingle[order], whole("places", np.uint16)[order], whole("names", np.uint64)[of], whole("sizes", np.int32)[of]
+        order = np.lexsort((name, shingle))
+        shingle, place, name, size = (x[order] for x in (shingle, place, name, size))
+        new = np.concatenate(([True], shingle[1:] != shingle[:-1]))[: len(shingle)]
+        other = new | np.concatenate(([True], name[1:] != name[:-1]))[: len(shingle)]  # copies of a set count once
+        group_of = np.cumsum(new) - 1
+        keep = other & (np.bincount(group_of[other], minlength=int(new.sum()))[group_of] > 1 if len(new) else other)
+        return pa.table({"shingle": shingle[keep], "digest": name[keep].view(np.int64), "size": size[keep], "place": place[keep].astype(np.int32)})
+
+    binaries = "shingles binary, highs binary, places binary, names binary, sizes binary, times binary"
+    return own.select("digest", "size", "first").mapInArrow(deal, f"part long, {binaries}").groupBy("part").applyInArrow(meet, "shingle long, digest long, size int, place int")
+
+
+def rest(own: DataFrame, unique: DataFrame, stars: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs a > b (nodes) of different components that may be similar: all that are, and few others."""
+    number = lambda c: F.conv(F.hex(F.substring(c, -8, 8)), 16, -10).cast("long")
+    roots = unique.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select(number("node").alias("digest"), number(F.coalesce("b", "node")).alias("root"))
+    met = materialise(shared(own).join(roots, "digest"), "sim-shared")
+    apart = met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    held = met.join(apart, "shingle").groupBy("shingle", "root").agg(F.collect_list(F.struct("digest", "size", "place")).alias("sets"))
+    held = materialise(held, "sim-apart")  # what is together already is never paired
+    x, y = held.select("shingle", F.col("root").alias("r"), F.col("sets").alias("xs")), held.select("shingle", F.col("root").alias("s"), F.col("sets").alias("ys"))
+    pairs = x.join(y, "shingle").where("r < s").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    fits = f"least(x.size, y.size) >= {rule.similarity} * greatest(x.size, y.size) - 1e-9"
+    places = f"least(x.size - x.place, y.size - y.place) >= {rule.similarity / (1 + rule.similarity)!r} * (x.size + y.size) - 1e-6"
+    pairs = pairs.where(fits).where(places).select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y")).distinct()
+    node = unique.select(number("node").alias("digest"), "node")
+    pairs = pairs.join(node.withColumnsRenamed({"digest": "x", "node": "xn"}), "x").join(node.withColumnsRenamed({"digest": "y", "node": "yn"}), "y")
+    return pairs.select(F.greatest("xn", "yn").alias("a"), F.least("xn", "yn").alias("b"))
+
+
+def possible(edges: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
+    """The edges that the parities of both ends' shingles leave possible."""
+    named = edges.select("a", "b", F.substring("a", -8, 8).alias("x"), F.substring("b", -8, 8).alias("y"))
+    ends = named.select(F.col("x").alias("digest")).union(named.select("y")).distinct()
+    odd = materialise(own.select("digest", "size", "odd").join(ends, "digest", "left_semi").dropDuplicates(["digest"]), "sim-odd")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("xs").to_numpy() + batch.column("ys").to_numpy()) * ((1 - rule.similarity) / (1 + rule.similarity)) + 1e-6
+            apart = [_least_apart(x, y) for x, y in zip(batch.column("xo").to_pylist(), batch.column("yo").to_pylist())]
+            yield batch.filter(pa.array(np.array(apart, float) <= most)).select(["a", "b"])
+
+    side = lambda c: odd.select(F.col("digest").alias(c), F.col("size").alias(c + "s"), F.col("odd").alias(c + "o"))
+    return named.join(side("x"), "x").join(side("y"), "y").select("a", "b", "xs", "ys", "xo", "yo").mapInArrow(judge, "a binary, b binary")
+
+
 _LOWEST = -(1 << 63)
 
 
@@ -493,7 +630,13 @@ def _linked(own: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, Dat
     unique = materialise(_nodes(own), "sim-distinct")
     edges = materialise(forests(unique, rule), "sim-links")
     if rule.similarity:
-        edges = materialise(verified(edges, unique, docs, rule), "sim-verified")
+        edges = materialise(possible(edges, own, rule), "sim-possible")
+        stars = _contract(materialise(verified(edges, unique, docs, rule), "sim-verified"))
+        more = materialise(rest(own, unique, stars, rule), "sim-rest")
+        more = materialise(possible(more, own, rule), "sim-possible")
+        if more.isEmpty():
+            return unique, stars
+        return unique, _contract(materialise(stars.select("a", "b").union(verified(more, unique, docs, rule)), "sim-verified"))
     return unique, _contract(edges)
 
 

@@ -348,6 +348,44 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, shard_rows):
     assert sorted(kept) == sorted(set(out.values()))
 
 
+@pytest.mark.parametrize("known", [0, 4, 1 << 17])
+def test_near_duplicates_lose_no_pair(spark, monkeypatch, known):
+    """Components are those of all pairs at the similarity, also of those that no block of bits finds; whatever is known of common shingles."""
+    monkeypatch.setattr(simhash, "ORDER_MOST", known)
+    monkeypatch.setattr(simhash, "PART", 500)
+    frequent = " ".join(f"f{i}" for i in range(30))
+    rows = near_copies(11, 200) + [(7000 + k, f"{frequent} " + " ".join(f"u{k // 2}x{i}" for i in range(k % 2, 8))) for k in range(120)]
+    rows += [(8000, None), (8001, ""), (8002, "one two"), (8003, "a b c d e"), (8004, "A b c d e"), (8005, "a b c d e f"), (8006, "a b c d e f a b c d e f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in brute_similar(rows):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {i: root(i) for i in up}
+    assert {r.doc_id: r.component_id for r in simhash.components(frame, simhash.similar()).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(want.values()))
+    if known:  # with no help from the fingerprints at all, the rest is everything
+        monkeypatch.setattr(simhash, "forests", lambda unique, rule, f=simhash.forests: f(unique, rule).limit(0))
+        assert {r.doc_id: r.component_id for r in simhash.components(frame, simhash.similar()).collect()} == want
+
+
+def test_parities_never_rule_out_too_much():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 63, 64, 65, 130, 1000, 5000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        for m in (0, 1, n // 3, n):
+            y = np.union1d(x[m // 2 :], rng.integers(0, 1 << 64, m, np.uint64, endpoint=False))
+            apart = len(np.setxor1d(x, y))
+            least = simhash._least_apart(simhash._odd(x), simhash._odd(y))
+            assert least <= apart and (least > 0 or not apart or m == 0 or n < 3)
+
+
 @pytest.mark.parametrize("rows", [1 << 10, 1 << 22, 1 << 30])
 def test_blocks_meet_for_similar_texts(rows):
     """Of pairs just at the similarity, blocks and bits keep at least 0.95, for every width."""
