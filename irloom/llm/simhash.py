@@ -570,13 +570,37 @@ def rest(own: DataFrame, unique: DataFrame, stars: DataFrame, rule: Rule) -> Dat
     roots = unique.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select(number("node").alias("digest"), number(F.coalesce("b", "node")).alias("root"))
     met = materialise(shared(own).join(roots, "digest"), "sim-shared")
     apart = met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    held = met.join(apart, "shingle").groupBy("shingle", "root").agg(F.collect_list(F.struct("digest", "size", "place")).alias("sets"))
-    held = materialise(held, "sim-apart")  # what is together already is never paired
-    x, y = held.select("shingle", F.col("root").alias("r"), F.col("sets").alias("xs")), held.select("shingle", F.col("root").alias("s"), F.col("sets").alias("ys"))
-    pairs = x.join(y, "shingle").where("r < s").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    fits = f"least(x.size, y.size) >= {rule.similarity} * greatest(x.size, y.size) - 1e-9"
-    places = f"least(x.size - x.place, y.size - y.place) >= {rule.similarity / (1 + rule.similarity)!r} * (x.size + y.size) - 1e-6"
-    pairs = pairs.where(fits).where(places).select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y")).distinct()
+    held = met.join(apart, "shingle").groupBy("shingle").agg(F.collect_list(F.struct("digest", "root", "size", "place")).alias("sets"))
+    least, share = rule.similarity, rule.similarity / (1 + rule.similarity)
+
+    def once(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["x", "y"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, many = [np.zeros((2, 0), np.int64)], 0
+            for sets in batch.column("sets"):
+                digest, root, size, place = (sets.values.field(c).to_numpy() for c in ("digest", "root", "size", "place"))
+                order = np.argsort(size, kind="stable")
+                digest, root, size, place = digest[order], root[order], size[order], place[order]
+                roots, count = np.unique(root, return_counts=True)
+                large = root == roots[count.argmax()]  # what is together already is never paired
+                others = np.nonzero(~large)[0]
+                # of two, the smaller has the shingle at one of its very first places, and the other is not much larger
+                begins = np.nonzero(size - place >= 2 * share * size - 1e-6)[0]
+                ends = np.searchsorted(size, size[begins] / least + 1e-6, side="right")
+                for i, end in zip(begins.tolist(), ends.tolist()):
+                    y = others[np.searchsorted(others, i + 1) : np.searchsorted(others, end)] if large[i] else np.arange(i + 1, end)
+                    y = y[(root[y] != root[i]) & (np.minimum(size[i] - place[i], size[y] - place[y]) >= share * (size[i] + size[y]) - 1e-6)]
+                    found.append(np.stack((np.full(len(y), digest[i]), digest[y])))
+                    many += len(y)
+                    if many > 1 << 20:
+                        yield once(found)
+                        found, many = found[:1], 0
+            yield once(found)
+
+    pairs = held.mapInArrow(pair, "x long, y long").distinct()
     node = unique.select(number("node").alias("digest"), "node")
     pairs = pairs.join(node.withColumnsRenamed({"digest": "x", "node": "xn"}), "x").join(node.withColumnsRenamed({"digest": "y", "node": "yn"}), "y")
     return pairs.select(F.greatest("xn", "yn").alias("a"), F.least("xn", "yn").alias("b"))
